@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import substring_dedup
+from . import bpe, packing, secret_scan, substring_dedup
 
-MODULES = (substring_dedup,)
+MODULES = (secret_scan, packing, bpe, substring_dedup)
 
 
 def queries():

@@ -142,9 +142,9 @@ PACKED = "part int, owners binary, counts binary, keys binary"
 PACKED_ARROW = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 
 
-def pack(owner: np.ndarray, keys: np.ndarray, partitions: int) -> pa.RecordBatch:
-    """Packs (owner, key) postings, grouped by owner, into one row for each of ``partitions`` by key."""
-    part = (keys % U(partitions)).astype(np.int32)
+def pack(owner: np.ndarray, keys: np.ndarray, partitions: int, by_owner: bool = False) -> pa.RecordBatch:
+    """Packs (owner, key) postings, grouped by owner, into one row for each of ``partitions`` by key or by owner."""
+    part = ((mix(owner.view(U)) if by_owner else keys) % U(partitions)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     part, owner, keys = part[order], owner[order], keys[order]
     starts, lengths = runs(part)

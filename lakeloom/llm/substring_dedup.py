@@ -64,11 +64,10 @@ def _tag(keys, rows):
 
 
 def _given(column, first, end):
-    """Tags of the keys listed for rows first..end (array<binary>)."""
-    lists = column.slice(first, end - first)
+    """Tags of the keys listed for rows first..end."""
     keys, rows = [np.zeros(0, flat.U)], [np.zeros(0, np.int64)]
-    for i, blobs in enumerate(lists):
-        for blob in blobs.values if blobs.is_valid else ():
+    for i, blob in enumerate(column.slice(first, end - first)):
+        if blob.is_valid:
             keys.append(np.frombuffer(blob.as_buffer(), flat.U))
             rows.append(np.full(len(keys[-1]), i, np.int64))
     return _tag(np.concatenate(keys), np.concatenate(rows))
@@ -113,29 +112,44 @@ def _grouped(batches):
     return owners, keys, starts, lengths
 
 
-def _by_owner(owners, keys):
+def _by_owner(owners, keys, partitions):
     order = np.argsort(owners, kind="stable")
-    owners, keys = owners[order], keys[order]
-    starts, lengths = flat.runs(owners)
-    blobs = [keys[s : s + n].tobytes() for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-    for at in range(0, len(blobs), 5000):
-        yield pa.RecordBatch.from_arrays([pa.array(owners[starts[at : at + 5000]], pa.int64()), pa.array(blobs[at : at + 5000], pa.binary())], schema=_OWN)
+    return flat.pack(owners[order], keys[order], partitions, by_owner=True)
 
 
-def _shared(batches):
+def _shared(partitions):
     """For each document, its keys that another document has too."""
-    owners, keys, starts, lengths = _grouped(batches)
-    if len(starts):
-        twice = np.repeat(np.minimum.reduceat(owners, starts) < np.maximum.reduceat(owners, starts), lengths)
-        yield from _by_owner(owners[twice], keys[twice])
 
+    def run(batches):
+        owners, keys, starts, lengths = _grouped(batches)
+        if len(starts):
+            twice = np.repeat(np.minimum.reduceat(owners, starts) < np.maximum.reduceat(owners, starts), lengths)
+            yield _by_owner(owners[twice], keys[twice], partitions)
+
+    return run
 
-def _later(batches):
+
+def _later(partitions):
     """For each document, its keys that a document with a smaller id has too."""
-    owners, keys, starts, lengths = _grouped(batches)
-    if len(starts):
-        later = owners > np.repeat(np.minimum.reduceat(owners, starts), lengths)
-        yield from _by_owner(owners[later], keys[later])
+
+    def run(batches):
+        owners, keys, starts, lengths = _grouped(batches)
+        if len(starts):
+            later = owners > np.repeat(np.minimum.reduceat(owners, starts), lengths)
+            yield _by_owner(owners[later], keys[later], partitions)
+
+    return run
+
+
+def _lists(batches):
+    """One row for each document with all its keys."""
+    owners, keys = flat.unpack(batches)
+    order = np.argsort(owners, kind="stable")
+    owners, keys = owners[order], keys[order]
+    starts, lengths = flat.runs(owners)
+    for at in range(0, len(starts), 5000):
+        blobs = [keys[s : s + n].tobytes() for s, n in zip(starts[at : at + 5000].tolist(), lengths[at : at + 5000].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(owners[starts[at : at + 5000]], pa.int64()), pa.array(blobs, pa.binary())], schema=_OWN)
 
 
 def _sorted_run(batches):
@@ -216,13 +230,15 @@ class SubstringIndex:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         postings = materialise(texts.mapInArrow(_anchor_postings(n), flat.PACKED), "anchors")
         known = postings.union(self._read(self.runs)) if self.runs else postings
-        keys = "doc_id long, _ll_keys binary"
-        gather = F.collect_list("_ll_keys").alias("_ll_keys")  # at most one row for each partition
-        shared = known.repartitionById(n, F.col("part")).mapInArrow(_shared, keys).groupBy("doc_id").agg(gather)
+
+        def met(source, rule):
+            """Postings dealt out by key, judged, dealt out by document and listed."""
+            found = source.repartitionById(n, F.col("part")).mapInArrow(rule(n), flat.PACKED)
+            return found.repartitionById(n, F.col("part")).mapInArrow(_lists, "doc_id long, _ll_keys binary")
+
         asked = texts.union(history.select(F.col("doc_id").cast("long"), "text")) if self.runs and history is not None else texts
-        windows = asked.join(shared, "doc_id").mapInArrow(_window_postings(n), flat.PACKED)
-        later = windows.repartitionById(n, F.col("part")).mapInArrow(_later, keys).groupBy("doc_id").agg(gather)
-        later = materialise(later, "later").withColumnRenamed("doc_id", "_ll_id")
+        windows = asked.join(met(known, _shared), "doc_id").mapInArrow(_window_postings(n), flat.PACKED)
+        later = materialise(met(windows, _later), "later").withColumnRenamed("doc_id", "_ll_id")
         joined = docs.join(later, F.col("doc_id").cast("long") == F.col("_ll_id"), "left").drop("_ll_id")
         columns = [*docs.columns, "n_words", "n_removed"]
         schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, jaccard_join, packing, secret_scan, substring_dedup
+from . import bpe, jaccard_join, packing, pii, secret_scan, substring_dedup, toxicity
 
-MODULES = (secret_scan, packing, jaccard_join, bpe, substring_dedup)
+MODULES = (secret_scan, packing, jaccard_join, bpe, toxicity, substring_dedup, pii)
 
 
 def queries():

@@ -16,8 +16,9 @@ sizes that allow the threshold, and pass the exact comparison of the whole sets.
 Only components are asked for, so a bucket need not be compared pair by pair: every class is compared
 with a leader of each of its buckets, first with one leader for all of a class's rarest buckets, then
 with a leader of each bucket that still holds several components. All pairs of classes of one
-bucket that are still in different components after that are then compared, none left out. Pairs within
-a component are never made, so a large group of near copies stays cheap.
+bucket that are still in different components after that are then compared, none left out, block against
+block in memory: their number is about that of the classes outside the largest component of their
+group times the size of the group. Pairs within a component are never made.
 
 Cases: a null or empty text, or one of white space, has an empty set, links with nothing and is its own
 component; fewer than five words are one shingle; repeated rows fall into one class; a row with a null
@@ -42,6 +43,7 @@ SIZE = 5
 PERCENT = 80
 BROADCAST_ROWS = 1_000_000
 STARS = 8
+BLOCK = 256
 _PACKED = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 _PACKED_DDL = "part int, owners binary, sizes binary, counts binary, keys binary"
 
@@ -220,6 +222,62 @@ def _verify(percent):
     return run
 
 
+def _incidence(lists_a, lists_b, wide=1 << 13):
+    """How many tokens each list of ``lists_a`` shares with each of ``lists_b``."""
+    out = np.zeros((len(lists_a), len(lists_b)), np.float32)
+    sides = []
+    for lists in (lists_a, lists_b):
+        sides.append((np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([*lists, lists[0][:0]])))
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    for at in range(0, len(common), wide):
+        part = common[at : at + wide]
+        made = []
+        for (rows, tokens), n in zip(sides, out.shape, strict=True):
+            place = np.minimum(np.searchsorted(part, tokens), len(part) - 1)
+            ok = part[place] == tokens
+            table = np.zeros((n, len(part)), np.float32)
+            table[rows[ok], place[ok]] = 1
+            made.append(table)
+        out += made[0] @ made[1].T
+    return out
+
+
+def _meet(percent):
+    """Of two blocks, the links between classes of different components, by one a component pair is joined."""
+
+    def side(row):
+        m = row.values
+        get = {f.name: m.field(i) for i, f in enumerate(m.type)}
+        sets = [np.frombuffer(x.as_buffer(), flat.U) for x in get["tokens"]]
+        return get["class"].to_numpy(), get["component"].to_numpy(), sets, [[x.values.to_numpy() for x in get[p]] for p in ("p1", "p2", "p3")]
+
+    def run(batches):
+        for batch in batches:
+            found = [[np.zeros(0, np.int64)] for _ in range(2)]
+            for i in range(batch.num_rows):
+                ids_a, in_a, sets_a, orders_a = side(batch.column("m_a")[i])
+                ids_b, in_b, sets_b, orders_b = side(batch.column("m_b")[i])
+                n_a, n_b = (np.array([len(x) for x in s]) for s in (sets_a, sets_b))
+                may = (in_a[:, None] != in_b[None, :]) & (100 * n_a[:, None] >= percent * n_b[None, :]) & (100 * n_b[None, :] >= percent * n_a[:, None])
+                for x, y in zip(orders_a, orders_b, strict=True):
+                    if may.any():
+                        may &= _incidence(x, y) > 0
+                if not may.any():
+                    continue
+                rows, columns = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+                both = _incidence([sets_a[r] for r in rows], [sets_b[c] for c in columns]).astype(np.int64)
+                hit = may[np.ix_(rows, columns)] & (100 * both >= percent * (n_a[rows][:, None] + n_b[columns][None, :] - both))
+                r, c = np.nonzero(hit)
+                x, y = in_a[rows[r]], in_b[columns[c]]
+                # one link joins a pair of components; the others between the same two add nothing
+                _, once = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1, return_index=True) if len(x) else (None, r)
+                found[0].append(ids_a[rows[r[once]]])
+                found[1].append(ids_b[columns[c[once]]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["a", "b"])
+
+    return run
+
+
 class _Join:
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.docs, self.size, self.percent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size, percent
@@ -241,7 +299,7 @@ class _Join:
         wanted = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
         texts = self.docs.join(wanted, "doc_id").mapInArrow(_set_blobs(self.size), "class long, tokens binary")
         once = texts.dropDuplicates(["class"]) if self.repeated_ids() else texts
-        return once.join(self.prefixes.select("class", "p2", "p3"), "class")
+        return once.join(self.prefixes.select("class", "p1", "p2", "p3"), "class")
 
     def repeated_ids(self) -> bool:
         counts = self.labels.filter("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
@@ -249,9 +307,12 @@ class _Join:
 
     def compare(self, pairs: DataFrame) -> None:
         """Adds the links among ``pairs`` (a, b) and joins the components anew."""
-        left = self.sets.toDF("a", "tokens_a", "p2_a", "p3_a")
-        right = self.sets.toDF("b", "tokens_b", "p2_b", "p3_b")
-        new = materialise(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(self.percent), "a long, b long"), "links")
+        left = self.sets.select(F.col("class").alias("a"), F.col("tokens").alias("tokens_a"), F.col("p2").alias("p2_a"), F.col("p3").alias("p3_a"))
+        right = self.sets.select(F.col("class").alias("b"), F.col("tokens").alias("tokens_b"), F.col("p2").alias("p2_b"), F.col("p3").alias("p3_b"))
+        self.join_links(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(self.percent), "a long, b long"))
+
+    def join_links(self, found: DataFrame) -> None:
+        new = materialise(found, "links")
         self.links = new if self.links is None else self.links.union(new)
         self.found = materialise(components(self.links), "found")
 
@@ -277,11 +338,37 @@ class _Join:
         self.compare(materialise(stars.select(F.greatest("c", "class").alias("a"), F.least("c", "class").alias("b")).distinct(), "stars"))
 
         last = materialise(self.mixed(self.placed()), "open")
-        other = last.select("token", F.col("class").alias("c"), F.col("n").alias("m"), F.col("component").alias("d"))
-        rest = last.join(other, "token").filter("class > c and component != d").filter(self.fits("n", "m"))
-        self.compare(materialise(rest.select(F.col("class").alias("a"), F.col("c").alias("b")).distinct(), "rest"))
+        if not last.isEmpty():
+            self.join_links(self.blocks(last))
         return self.result()
 
+    def blocks(self, last: DataFrame) -> DataFrame:
+        """Links among all pairs of classes that share one of the buckets ``last`` and are in different components.
+
+        Classes are dealt to blocks of about ``BLOCK``: first by the fullest bucket they are in, then, where a
+        component fills blocks of its own, by component. Blocks that share a bucket meet once; two blocks
+        wholly of one component do not meet. A meeting counts overlaps as products of incidence matrices.
+        """
+        full = materialise(last.groupBy("token").agg(F.count("*").alias("k")), "full")
+        home = last.join(full, "token").groupBy("class", "component").agg(F.max(F.struct("k", "token")).alias("best"))
+        home = materialise(home.select("class", "component", F.col("best.token").alias("home")), "home")
+        large = home.groupBy("home", "component").agg(F.count("*").alias("many"))
+        own = F.when(F.col("many") >= BLOCK, F.col("component"))
+        home = materialise(home.join(materialise(large, "large"), ["home", "component"]).withColumn("own", own), "home")
+        sizes = home.groupBy("home", "own").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+        sizes = materialise(sizes.withColumn("of", F.xxhash64("home", F.coalesce("own", F.lit(0)), F.col("own").isNull())), "sizes")
+        dealt = home.withColumn("of", F.xxhash64("home", F.coalesce("own", F.lit(0)), F.col("own").isNull())).join(sizes.select("of", "parts"), "of")
+        dealt = materialise(dealt.select("class", "component", F.xxhash64("of", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("block")), "dealt")
+        seen = materialise(last.join(dealt.select("class", "block"), "class").groupBy("block", "token").agg(F.count("*").alias("k")), "seen")
+        pure = dealt.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        pure = materialise(pure.withColumn("only", F.when(F.col("x") == F.col("y"), F.col("x"))).select("block", "only"), "pure")
+        pairs = seen.select("token", F.col("block").alias("a")).join(seen.select("token", F.col("block").alias("b")), "token").filter("a <= b").select("a", "b").distinct()
+        pairs = pairs.join(pure.toDF("a", "only_a"), "a").join(pure.toDF("b", "only_b"), "b").filter("not coalesce(only_a = only_b, false)").select("a", "b")
+        packed = dealt.join(self.sets, "class").groupBy("block").agg(F.collect_list(F.struct("class", "component", "tokens", "p1", "p2", "p3")).alias("m"))  # about BLOCK classes
+        packed = materialise(packed, "blocks")
+        met = materialise(pairs, "meetings").join(packed.toDF("a", "m_a"), "a").join(packed.toDF("b", "m_b"), "b")
+        return met.select("m_a", "m_b").mapInArrow(_meet(self.percent), "a long, b long")
+
     @staticmethod
     def mixed(placed: DataFrame) -> DataFrame:
         """The rows of buckets that hold classes of several components."""

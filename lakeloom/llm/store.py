@@ -25,9 +25,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def source_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (file sizes for a scan): metadata only, no job."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 50)
+    """Bytes of the tables that ``df`` reads, as Catalyst knows them (file sizes): metadata only, no job. Sources of unknown size count as 0."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(size for size in sizes if size < 1 << 55)
 
 
 def partitions_for(df: DataFrame, mb: int = 16) -> int:

@@ -164,7 +164,7 @@ def _sorted_run(batches):
         yield pa.RecordBatch.from_arrays([pa.array([parts[0]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (owners, ones, keys))], schema=flat.PACKED_ARROW)
 
 
-def _removal(columns, schema):
+def _removal(columns, schema, untouched):
     def run(batches):
         for batch in batches:
             for first, end, data, offsets in flat.chunks(batch.column("text")):
@@ -189,6 +189,10 @@ def _removal(columns, schema):
                 inner = np.flatnonzero(r[1:] == r[:-1]) + 1 if len(r) else np.zeros(0, np.int64)
                 keep[s[inner] - 1] = True  # the white byte before a word that is not its text's first
                 text[s[inner] - 1] = 32
+                if untouched:
+                    whole = np.repeat(np.bincount(word_rows[gone], minlength=n) == 0, np.diff(offsets))
+                    keep |= whole
+                    text[whole] = data[whole]
                 sizes = np.concatenate(([0], np.cumsum(keep)))[offsets]
                 new = pa.StringArray.from_buffers(n, pa.py_buffer(sizes.astype(np.int32).tobytes()), pa.py_buffer(text[keep].tobytes()))
                 counts = {"text": new, "n_words": pa.array(np.bincount(word_rows, minlength=n), pa.int64()), "n_removed": pa.array(np.bincount(word_rows[gone], minlength=n), pa.int64())}
@@ -220,10 +224,11 @@ class SubstringIndex:
         if len(self.runs) > self.most_runs:
             self.runs = [write(self._read(self.runs))]
 
-    def dedup(self, docs: DataFrame, history: DataFrame | None = None, keep_run: bool = True) -> DataFrame:
+    def dedup(self, docs: DataFrame, history: DataFrame | None = None, keep_run: bool = True, untouched: bool = False) -> DataFrame:
         """``docs`` with the repeated words cut from ``text``, plus n_words and n_removed.
 
-        ``history``: the documents of earlier batches, whose runs this index holds.
+        ``history``: the documents of earlier batches, whose runs this index holds. ``untouched``: a text that
+        loses nothing stays as it is, white space included; else all kept words are joined by one space.
         """
         n = self.partitions
         docs = docs.drop("n_words", "n_removed", *[c for c in docs.columns if c.startswith("_ll_")])
@@ -243,23 +248,23 @@ class SubstringIndex:
         columns = [*docs.columns, "n_words", "n_removed"]
         schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
         arrow = pa.schema([("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
-        out = joined.mapInArrow(_removal(columns, arrow), schema)
+        out = joined.mapInArrow(_removal(columns, arrow, untouched), schema)
         if keep_run:
             self._append(postings)
         return out
 
 
-def dedup_substrings(docs: DataFrame, batches: int = 2) -> DataFrame:
+def dedup_substrings(docs: DataFrame, batches: int = 2, untouched: bool = False) -> DataFrame:
     """Deduplicates a whole table, fed to a fresh index in ``batches`` by ascending doc_id."""
     index = SubstringIndex(docs.sparkSession, partitions=partitions_for(docs, 32))
     bounds = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     if bounds.lo is None or batches < 2:
-        return index.dedup(docs, keep_run=False)
+        return index.dedup(docs, keep_run=False, untouched=untouched)
     step = (bounds.hi - bounds.lo) // batches + 1
     number = F.coalesce(F.floor((F.col("doc_id") - bounds.lo) / step), F.lit(0))
     out = None
     for i in range(batches):
-        part = index.dedup(docs.filter(number == i), docs.filter(number < i) if i else None, keep_run=i < batches - 1)
+        part = index.dedup(docs.filter(number == i), docs.filter(number < i) if i else None, keep_run=i < batches - 1, untouched=untouched)
         out = part if out is None else out.union(part)
     return out
 

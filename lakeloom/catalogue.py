@@ -4,40 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def register(name: str, sql: str | None = None):
-    """Decorator: adds a query and, where SQL can say it, its DuckDB text."""
-
-    def add(function):
-        _QUERIES[name] = (function, sql)
-        return function
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from .queries import QUERIES, operators, scalars, windows  # noqa: F401  the modules register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: function for name, (function, _) in _QUERIES.items()}
+    return {name: function for name, (function, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
-
-
-@register(
-    "latest_order_per_customer",
-    """SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders
-    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
-)
-def latest_order_per_customer(spark, sf_dir):
-    newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    return orders.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}

@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 from . import flat
 
 NONE = np.int64(1 << 40)
-KNOWN_WORDS = 2_000_000
+KNOWN_WORDS = 500_000
+CHUNK_BYTES = 1 << 20  # a worker holds about 60 bytes of arrays for each byte of a chunk
 #: White_Space of Unicode, as fixed values.
 SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -254,11 +255,11 @@ def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def text_chunks(column: pa.Array):
-    """(first row, end row, list of texts) of slices of about ``flat.CHUNK_BYTES``."""
+    """(first row, end row, list of texts) of slices of about ``CHUNK_BYTES``."""
     sizes = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))))
     at, n = 0, len(column)
     while at < n:
-        end = min(n, max(at + 1, int(np.searchsorted(sizes, sizes[at] + flat.CHUNK_BYTES, "right")) - 1))
+        end = min(n, max(at + 1, int(np.searchsorted(sizes, sizes[at] + CHUNK_BYTES, "right")) - 1))
         yield at, end, column.slice(at, end - at).to_pylist()
         at = end
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, jaccard_join, packing, pii, secret_scan, substring_dedup, toxicity, url_filter, vector_dedup
+from . import bpe, jaccard_join, packing, pii, secret_scan, substring_dedup, topk_search, toxicity, url_filter, vector_dedup
 
-MODULES = (url_filter, secret_scan, vector_dedup, packing, jaccard_join, bpe, toxicity, substring_dedup, pii)
+MODULES = (url_filter, secret_scan, vector_dedup, packing, jaccard_join, topk_search, bpe, toxicity, substring_dedup, pii)
 
 
 def queries():

@@ -217,3 +217,95 @@ def split_words(spark, sf_dir):
 )
 def long_fact_orders(spark, sf_dir):
     return reshape.long_fact(table(spark, sf_dir, "orders"), ["o_orderkey"], ["o_totalprice", "o_orderstatus"]).select("o_orderkey", "fact_name", "value_type", "value_float64", "value_string")
+
+
+_RULES = [
+    {"id": "columns", "kind": "required_columns", "columns": ["o_orderkey", "gone"]},
+    {"id": "types", "kind": "dtype", "types": {"o_orderkey": "int64", "o_orderstatus": "int64"}},
+    {"id": "nulls", "kind": "not_null", "columns": ["o_custkey", "status"]},
+    {"id": "key", "kind": "unique", "columns": ["o_orderkey"]},
+    {"id": "customers", "kind": "unique", "columns": ["o_custkey", "status"]},
+    {"id": "states", "kind": "accepted_values", "column": "status", "values": ["F"]},
+    {"id": "prices", "kind": "range", "column": "o_totalprice", "min": 1000, "max": 200000},
+    {"id": "rows", "kind": "row_count", "min": 1},
+]
+
+
+@register(
+    "assert_quality",
+    """WITH t AS (SELECT *, nullif(o_orderstatus, 'P') AS status FROM orders)
+    SELECT 'columns' AS rule_id, 'required_columns' AS kind, 1::BIGINT AS failed UNION ALL SELECT 'types', 'dtype', 1 UNION ALL SELECT 'nulls', 'not_null', count(*) FILTER (o_custkey IS NULL OR status IS NULL) FROM t
+    UNION ALL SELECT 'key', 'unique', count(*) - count(DISTINCT o_orderkey) FROM t UNION ALL SELECT 'customers', 'unique', (SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT o_custkey, status FROM t))
+    UNION ALL SELECT 'states', 'accepted_values', count(*) FILTER (status <> 'F') FROM t UNION ALL SELECT 'prices', 'range', count(*) FILTER (o_totalprice < 1000 OR o_totalprice > 200000) FROM t UNION ALL SELECT 'rows', 'row_count', 0""",
+)
+def assert_quality(spark, sf_dir):
+    from .. import quality
+
+    return quality.evaluate(table(spark, sf_dir, "orders").withColumn("status", F.nullif(F.col("o_orderstatus"), F.lit("P"))), _RULES)
+
+
+@register("compare_summary", "SELECT count(*) AS row_count, 0::BIGINT AS duplicates, count(*) FILTER (k = 3) AS null_n_name FROM (SELECT n_nationkey AS k FROM nation)")
+def compare_summary(spark, sf_dir):
+    from .. import compare
+
+    df = table(spark, sf_dir, "nation").withColumn("n_name", F.when(F.col("n_nationkey") != 3, F.col("n_name")))
+    return compare.summary(df).select("row_count", "duplicates", "null_n_name")
+
+
+@register("compare_differences", "SELECT n_nationkey, n_name, n_regionkey, 'left' AS side FROM nation WHERE n_nationkey < 2 UNION ALL SELECT n_nationkey, n_name, n_regionkey, 'right' FROM nation WHERE n_nationkey > 22")
+def compare_differences(spark, sf_dir):
+    from .. import compare
+
+    nation = table(spark, sf_dir, "nation")
+    return compare.differences(nation.filter("n_nationkey <= 22"), nation.filter("n_nationkey >= 2"))
+
+
+@register("route_events", "SELECT event_id, 'high' AS route FROM events WHERE value > 50 UNION ALL SELECT event_id, 'clicks' FROM events WHERE event_type = 'click'")
+def route_events(spark, sf_dir):
+    from .. import sinks
+
+    return sinks.route(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), {"high": "[value] > 50", "clicks": "[event_type] = 'click'"}).select("event_id", "route")
+
+
+@register("partition_names", """SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN '__null__' WHEN o_orderpriority = '2-HIGH' THEN '__empty__' ELSE replace(o_orderpriority || '/x', '/', '_') END AS part FROM orders""")
+def partition_names(spark, sf_dir):
+    from .. import sinks
+
+    raw = F.when(F.col("o_orderpriority") == "2-HIGH", "").when(F.col("o_orderpriority") != "5-LOW", F.concat("o_orderpriority", F.lit("/x")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", sinks.partition_value(raw).alias("part"))
+
+
+@register("date_window_extract", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-03-15'")
+def date_window_extract(spark, sf_dir):
+    import datetime as dt
+
+    from ..sources import windows
+
+    table(spark, sf_dir, "orders").createOrReplaceTempView("lakeloom_orders")
+    sql = windows.template_sql("lakeloom_orders", ["o_orderkey", "o_orderdate"], "o_orderdate", ["o_orderstatus = 'F'"]).replace(":date_from", "CAST(:date_from AS TIMESTAMP_NTZ)").replace(":date_to", "CAST(:date_to AS TIMESTAMP_NTZ)")
+    return windows.extract(spark, sql, windows.expand("1996-01-01", "1996-03-15", dt.timedelta(days=20), dt.datetime(2024, 1, 1)))
+
+
+@register(
+    "definition_pipeline",
+    """WITH l AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+    SELECT o_custkey AS customer, CASE WHEN o_totalprice > 200000 THEN 'large' ELSE 'small' END AS size, n_name AS nation FROM l JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus <> 'P'""",
+)
+def definition_pipeline(spark, sf_dir):
+    from .. import plans
+
+    return plans.plan(
+        spark,
+        {
+            "sources": {name: {"paths": [f"{sf_dir}/{name}.parquet"]} for name in ("orders", "customer", "nation")},
+            "steps": [
+                {"op": "active_row_selection", "group": ["o_custkey"], "sort": [{"column": "o_orderdate", "direction": "desc"}], "ties": [{"column": "o_orderkey", "direction": "desc"}]},
+                {"op": "filter", "expression": "[o_orderstatus] <> 'P'"},
+                {"op": "add_calc", "expressions": {"size": "If([o_totalprice] > 200000, 'large', 'small')"}},
+                {"op": "join", "right": "customer", "keys": {"o_custkey": "c_custkey"}, "how": "inner", "include": ["c_nationkey"]},
+                {"op": "enrich", "lookup": "nation", "keys": {"c_nationkey": "n_nationkey"}, "columns": ["n_name"]},
+                {"op": "include_columns", "columns": ["o_custkey", "size", "n_name"]},
+                {"op": "rename_columns", "mapping": {"o_custkey": "customer", "n_name": "nation"}},
+            ],
+        },
+    )

@@ -2,9 +2,10 @@
 
 Fitting reads at most about ``fit_rows`` labelled documents (chosen by a hash of their id), never those
 whose crc32(doc_id as text) mod 4 is 2. Terms are whole words and word stems (prefixes) that are far more
-common in toxic documents than in others. A stem is kept only if no longer stem is in as many toxic
-documents. Each term weighs its smoothed log odds. A logistic model over a few features of a document's
-hits gives the score; its training features come from terms learned on the other half of the rows.
+common in toxic documents than in others. A stem is kept only if no longer stem, and no word, that starts
+with it is in as many toxic documents. Each term weighs its smoothed log odds. A logistic model over a few
+features of a document's hits gives the score; its training features come from terms learned on the other
+half of the rows.
 
 Scoring works on flat arrays of a chunk's distinct words. Exact words and stems are found by hash. For
 misspellings (one edit, from five letters on; two from ten on), words that share a piece with a
@@ -242,16 +243,17 @@ def _choose(counts: dict[tuple[str, str], tuple[int, int]], positives: int, nega
     """Terms from (kind, text) -> documents that have it, toxic and other."""
     chosen: dict[str, dict[str, float]] = {"word": {}, "stem": {}}
     least = max(3, positives // 200)
-    as_many = Counter()
+    as_many = Counter()  # of each stem, the most toxic documents that a longer stem or a word with it has
     for (kind, text), (p, _) in counts.items():
-        if kind == "stem" and p >= least:
-            as_many[text[:-1]] = max(as_many[text[:-1]], p)
+        if p >= least:
+            for stem in [text[:-1]] if kind == "stem" else [text[:k] for k in STEMS if k <= len(text)]:
+                as_many[stem] = max(as_many[stem], p)
     for (kind, text), (p, q) in counts.items():
         odds = math.log((p + 0.5) / (positives + 1)) - math.log((q + 0.5) / (negatives + 1))
         if p < least or odds < 2.5:
             continue
-        if kind == "stem" and (as_many[text] >= p or counts.get(("word", text), (0, 0))[0] >= p):
-            continue  # a longer stem, or the word itself, says the same
+        if kind == "stem" and as_many[text] >= p:
+            continue
         chosen[kind][text] = odds
     for word in list(chosen["word"]):
         if any(word[:k] in chosen["stem"] for k in STEMS if k < len(word)):

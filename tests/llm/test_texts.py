@@ -1,0 +1,251 @@
+"""Operators on texts against brute force or an independent library."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from lakeloom.llm import bpe, packing, pii, secret_scan, substring_dedup
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_path())
+
+
+def odd_texts(seed, n, alphabet, longest=60):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, longest))) for _ in range(n)]
+
+
+LETTERS = list("abcdefgXYZ'stmdrevl  \n\t!?.,0123éÉİßΣσ日本語́  \x1c\x85😀½²_-<|>")
+CORNERS = [None, "", "a" * 3000, "'s", "''s", "don't 'tis we've they'll 'll 're", "<|endoftext|>", "x<|startoftext|>y<|endoftext|><|endoftext|>", "ΑΣ", "a'"]
+
+
+def test_encoding_equals_the_library(tokenizer):
+    encoder = bpe.load(bpe.default_path())
+    texts = odd_texts(1, 3000, LETTERS) + CORNERS
+    for at in range(0, len(texts), 700):
+        part = texts[at : at + 700]
+        ids, bounds = encoder.encode(part)
+        for i, text in enumerate(part):
+            own = ids[bounds[i] : bounds[i + 1]]
+            wanted = tokenizer.encode(text or "", add_special_tokens=False).ids
+            assert own.tolist() == wanted, text
+            assert encoder.decode(own) == tokenizer.decode(wanted, skip_special_tokens=False)
+
+
+def test_encode_and_decode_frames(spark, tokenizer):
+    rows = [(i, t, "mine") for i, t in enumerate(odd_texts(2, 50, LETTERS) + CORNERS)] + [(None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    for packed in (False, True):
+        out = bpe.decode(bpe.encode(docs, packed=packed)).collect()
+        got = collections.Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()) if packed else tuple(r.ids), r.decoded) for r in out)
+        wanted = collections.Counter()
+        for i, t, _ in rows:
+            ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+            wanted[i, tuple(ids), tokenizer.decode(ids, skip_special_tokens=False)] += 1
+        assert got == wanted
+    assert bpe.encode(docs.limit(0)).collect() == []
+
+
+def check_plan(lengths, capacity):
+    counts = collections.Counter(lengths)
+    sequences, used = collections.defaultdict(list), collections.defaultdict(set)
+    for length, first, many, sequence, offset in packing.plan(counts, capacity):
+        for i in range(many):
+            sequences[sequence + i].append((offset, length))
+            assert first + i not in used[length]
+            used[length].add(first + i)
+    assert all(used[n] == set(range(c)) for n, c in counts.items())
+    for inside in sequences.values():
+        at = 0
+        for offset, length in sorted(inside):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(sequences)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_plan_is_as_good_as_best_fit_decreasing(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 50, 2048])
+    lengths = [rng.randint(1, capacity) for _ in range(rng.choice([1, 20, 400]))]
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        best = min((i for i, r in enumerate(rooms) if r >= n), key=lambda i: rooms[i], default=None)
+        if best is None:
+            rooms.append(capacity - n)
+        else:
+            rooms[best] -= n
+    assert check_plan(lengths, capacity) <= len(rooms)
+
+
+def test_pack(spark, tokenizer):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(0, 60)))) for i in range(80)] + [(100, None), (101, ""), (None, "x"), (7, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    capacity = 64
+    out = packing.pack(docs, capacity=capacity).collect()
+    wanted = collections.Counter()
+    for i, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for piece, start in enumerate(range(0, len(ids), capacity)):
+            part = ids[start : start + capacity]
+            wanted[i, piece, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == wanted
+    assert all(len(r.ids) == 4 * r.length for r in out)
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.sequence_id].append((r.offset, r.length))
+    for inside in by.values():
+        at = 0
+        for offset, length in sorted(inside):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert len(by) <= check_plan([r.length for r in out], capacity)
+    assert packing.pack(docs.limit(0)).collect() == []
+
+
+def cut(rows):
+    words = [(i, WORD.findall(t or "")) for i, t in rows]
+    first = {}
+    for i, w in words:
+        for k in range(len(w) - 12):
+            key = tuple(w[k : k + 13])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in words:
+        gone = {p for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}
+        out.append((i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("batches", [1, 2, 7])
+def test_substring_dedup(spark, batches):
+    rng = random.Random(5)
+    passages = [" ".join(f"p{k}{rng.randrange(9)}" for _ in range(rng.choice([13, 20, 60]))) for k in range(5)]
+    rows = []
+    for i in range(90):
+        parts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 30)))]
+        parts += [rng.choice(passages) for _ in range(rng.randint(0, 3))]
+        rng.shuffle(parts)
+        rows.append((i * 3, rng.choice([" ", "\n", "  "]).join(parts)))
+    rows += [(5, None), (8, ""), (11, "a b c"), (14, " ".join(["x"] * 40)), (17, " ".join(["x"] * 20)), (20, "é " * 13), (23, "é " * 14)]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_words int")
+    out = substring_dedup.dedup_substrings(docs, batches=batches).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in out), key=repr) == cut(rows)
+    kept = {r.doc_id: r.text for r in substring_dedup.dedup_substrings(docs, untouched=True).collect() if not r.n_removed}
+    assert all(kept[i] == (t or "") for i, t in rows if i in kept)
+
+
+def test_substring_index_compacts_and_takes_empty_batches(spark):
+    index = substring_dedup.SubstringIndex(spark, partitions=3, most_runs=1)
+    text = " ".join(f"w{k}" for k in range(20))
+    batches = [spark.createDataFrame(rows, "doc_id long, text string") for rows in ([(1, text)], [], [(2, text + " more"), (None, text)], [(3, "x " + text)])]
+    removed, seen = [], None
+    for batch in batches:
+        removed += [(r.doc_id, r.n_removed) for r in index.dedup(batch, seen).collect()]
+        seen = batch if seen is None else seen.union(batch)
+    assert sorted(removed, key=repr) == [(1, 0), (2, 20), (3, 20), (None, 0)]
+    assert len(index.runs) == 1
+
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def secrets(text):
+    text = text or ""
+    out = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(out)]
+
+
+def test_secret_scan(spark):
+    pieces = ["token", "Secret", "api_key", "apikey", "=", ":", " ", "'", '"', "abcdef12", "x", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "é😀", "password", "\n"]
+    texts = odd_texts(4, 400, pieces, 30)
+    rows = [*enumerate(texts), *enumerate(texts[:20], 1000), (5000, None), (5001, ""), (None, "token=abcdefg")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, secrets int")
+    ledger = secret_scan.BlobLedger(spark)
+    out = ledger.scan(docs).collect()
+    base = {r.kind for r in secret_scan.BASE}
+    got = collections.Counter((r.doc_id, tuple(f"{x.kind}:{x.start}:{x.end}" for x in r.secrets if x.kind in base)) for r in out)
+    assert got == collections.Counter((i, tuple(secrets(t))) for i, t in rows)
+    assert ledger.unseen(docs).count() == 0
+    more = docs.union(spark.createDataFrame([(9999, "token: newvalue", 1)], docs.schema))
+    assert [r.text for r in ledger.unseen(more).collect()] == ["token: newvalue"]
+    rules = (*secret_scan.RULES, secret_scan.Rule("own", "newv[a-z]+", "newv"))
+    assert {len(r.rules) for r in ledger.unseen(docs, rules).collect()} == {1}
+    found = [x.kind for r in ledger.scan(more, rules).filter("doc_id = 9999").collect() for x in r.secrets]
+    assert found == ["assign", "own"]
+    clean = secret_scan.redact(ledger.scan(more)).filter("doc_id = 9999").first()
+    assert clean.text == "[assign]"
+    assert secret_scan.BlobLedger(spark).scan(docs.limit(0)).collect() == []
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def personal(text):
+    text = text or ""
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", m) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m)) <= 15]
+    return tuple(f"{k}:{m.start()}:{m.end()}" for k, m in out)
+
+
+def test_pii(spark):
+    pieces = ["a.b", "@", "x.com", "_", "%", "-", "1", "22", "256", "255", ".", "0004", "4242 4242 4242 4242", " ", "+1", "(555) ", "555-1234", "+49 30 123456", "é😀", "\n", "Tel: (212) 555-1234", "SSN 123-45-6789 ", "price 212-555-1234", "5105105105105100", "+"]
+    rows = [*enumerate(odd_texts(6, 500, pieces, 25)), (900, None), (901, ""), (None, "a@b.co"), (902, "1 " * 5000)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, pii string")
+    out = pii.find_pii(docs).collect()
+    got = collections.Counter((r.doc_id, tuple(f"{x.kind}:{x.start}:{x.end}" for x in r.pii if x.kind in pii.BASE)) for r in out)
+    assert got == collections.Counter((i, personal(t)) for i, t in rows)
+    for r in out:
+        base = [(x.start, x.end) for x in r.pii if x.kind in pii.BASE]
+        assert not any(x.start < b and a < x.end for x in r.pii if x.kind not in pii.BASE for a, b in base)
+    plain = spark.createDataFrame([(1, "nothing here")], "doc_id long, text string")
+    assert pii.find_pii(plain).first().pii == [] and pii.find_pii(plain.limit(0)).collect() == []
+
+
+def test_estimated_reliabilities():
+    rng, patterns, truth = random.Random(1), collections.Counter(), {}
+    for _ in range(4000):
+        y = rng.random() < 0.3
+        votes = tuple(int(y) if rng.random() < p else int(not y) for p in (0.95, 0.9, 0.55))
+        patterns[votes] += 1
+        truth[votes] = truth.get(votes, 0) + (1 if y else -1)
+    prior, tables = pii.estimate(patterns)
+    assert tables[0][1] > tables[1][1] > tables[2][1]
+    for votes, n in truth.items():
+        if abs(n) > 100:
+            assert (prior + sum(t[v] for t, v in zip(tables, votes, strict=True)) > 0) == (n > 0)
+
+
+def test_digests_are_those_of_the_contract(spark, tmp_path):
+    rows = [(1, " ".join(f"w{k}" for k in range(20))), (2, "x " + " ".join(f"w{k}" for k in range(20))), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in substring_dedup.op9_substring_dedup(spark, str(tmp_path)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert got == [(i, n, m, hashlib.sha256(t.encode()).hexdigest()) for i, n, m, t in cut(rows)]
+    empty = hashlib.sha256(b"").hexdigest()
+    coded = {r.doc_id: r for r in bpe.op7_bpe(spark, str(tmp_path)).collect()}
+    assert (coded[3].n_tokens, coded[3].ids_sha256, coded[3].decoded_sha256) == (0, empty, empty)
+    assert {r.doc_id: r.base_sha256 for r in secret_scan.op2_secret_scan(spark, str(tmp_path)).collect()}[3] == empty

@@ -3,12 +3,12 @@
 Fitting reads at most about ``fit_rows`` labelled documents (chosen by a hash of their id), never those
 whose crc32(doc_id as text) mod 4 is 2. Terms are whole words and word stems (prefixes) that are far more
 common in toxic documents than in others. A stem is kept only if no longer stem, and no word, that starts
-with it is in as many toxic documents. Each term weighs its smoothed log odds. A logistic model over a few
+with it is in as many toxic documents, and a term goes that has a stem of nearly its weight. The ``TERMS`` strongest are kept. Each term weighs its smoothed log odds. A logistic model over a few
 features of a document's hits gives the score; its training features come from terms learned on the other
 half of the rows.
 
 Scoring works on flat arrays of a chunk's distinct words. Exact words and stems are found by hash. For
-misspellings (one edit, from five letters on; two from ten on), words that share a piece with a
+misspellings of the ``SPELT`` most frequent terms (one edit, from five letters on; two from ten on), words that share a piece with a
 term, as every word within that distance must, are walked through the trie of terms together with their
 Levenshtein automaton. A hit with quotation marks shortly before and after it counts as quoted,
 any other as abuse.
@@ -42,6 +42,9 @@ QUOTES = '"“”„«»'
 NEAR = 60
 WORD = re.compile(r"[^\W\d_]+")
 FEATURES = 8
+TERMS = 200
+SPELT = 40
+NEARLY = 0.7
 
 
 class Trie:
@@ -94,6 +97,7 @@ class Trie:
 class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    spelt: frozenset[str] | None = None  # words whose misspellings count; None: all
 
     def __post_init__(self):
         self.terms = sorted(self.words) + sorted(self.stems)
@@ -109,7 +113,7 @@ class Lexicon:
             for size in {len(t) for t in terms}:
                 pairs = sorted((hashed(t), base + i) for i, t in enumerate(terms) if len(t) == size)
                 self.by_length[whole, size] = np.array([h for h, _ in pairs], flat.U), np.array([i for _, i in pairs])
-        self.fuzzy = [t for t in sorted(self.words) if len(t) >= 5]
+        self.fuzzy = [t for t in sorted(self.words) if len(t) >= 5 and (self.spelt is None or t in self.spelt)]
         self.trie = Trie(self.fuzzy)
         self.fuzzy_id = [self.terms.index(t) for t in self.fuzzy]
         # pieces: (from the end, length of it) of a word; within k edits one of k+1 pieces of a term survives,
@@ -242,23 +246,24 @@ def features(texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, np.
 def _choose(counts: dict[tuple[str, str], tuple[int, int]], positives: int, negatives: int) -> Lexicon:
     """Terms from (kind, text) -> documents that have it, toxic and other."""
     chosen: dict[str, dict[str, float]] = {"word": {}, "stem": {}}
-    least = max(3, positives // 200)
+    least = max(3, positives // 100)
     as_many = Counter()  # of each stem, the most toxic documents that a longer stem or a word with it has
     for (kind, text), (p, _) in counts.items():
         if p >= least:
             for stem in [text[:-1]] if kind == "stem" else [text[:k] for k in STEMS if k <= len(text)]:
                 as_many[stem] = max(as_many[stem], p)
-    for (kind, text), (p, q) in counts.items():
+    for (kind, text), (p, q) in sorted(counts.items(), key=lambda x: (x[0][0] != "stem", len(x[0][1]), x[0][1])):
         odds = math.log((p + 0.5) / (positives + 1)) - math.log((q + 0.5) / (negatives + 1))
-        if p < least or odds < 2.5:
-            continue
-        if kind == "stem" and as_many[text] >= p:
+        if p < least or odds < 2.5 or (kind == "stem" and as_many[text] >= p):
             continue
+        if any(chosen["stem"].get(text[:k], -9.0) >= odds - NEARLY for k in STEMS if k < len(text)):
+            continue  # its stem weighs as much
         chosen[kind][text] = odds
-    for word in list(chosen["word"]):
-        if any(word[:k] in chosen["stem"] for k in STEMS if k < len(word)):
-            del chosen["word"][word]  # its stem finds it
-    return Lexicon(chosen["word"], chosen["stem"])
+    strength = {(kind, t): w * math.sqrt(counts[kind, t][0]) for kind, terms in chosen.items() for t, w in terms.items()}
+    for kind, t in sorted(strength, key=lambda x: (-strength[x], x))[TERMS:]:
+        del chosen[kind][t]
+    found = {t: counts["word", t][0] for t in chosen["word"]}
+    return Lexicon(chosen["word"], chosen["stem"], frozenset(sorted(found, key=lambda t: (-found[t], t))[:SPELT]))
 
 
 @dataclass
@@ -340,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     whole = _choose({t: (sum(p), sum(clean.get(t, (0, 0)))) for t, p in found.items()}, sum(positives), sum(negatives))
     if not whole.terms:
         return nothing
-    shared = spark.sparkContext.broadcast([(x.words, x.stems) for x in by_fold])
+    shared = spark.sparkContext.broadcast([(x.words, x.stems, x.spelt) for x in by_fold])
 
     def train(batches):
         lexicons = [Lexicon(*x) for x in shared.value]
@@ -359,11 +364,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``n_hits``."""
     docs = docs.drop("score", "n_hits")
     names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.weights))
+    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.lexicon.spelt, model.weights))
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("n_hits", T.LongType())])
 
     def run(batches):
-        own = Model(Lexicon(*shared.value[:2]), shared.value[2])
+        own = Model(Lexicon(*shared.value[:3]), shared.value[3])
         for batch in batches:
             for first, end, texts in bpe.text_chunks(batch.column("text")):
                 rows, hits = features(texts, own.lexicon)

@@ -130,3 +130,22 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_secret_scan": op2_secret_scan}
+
+
+def _duckdb() -> str:
+    """The same spans by splitting at each rule's matches and adding up lengths."""
+    found = []
+    for i, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        found.append(f"""SELECT r, {i} AS o, '{rule.kind}' AS kind, unnest(regexp_extract_all(t, '{pattern}')) AS hit, unnest(regexp_extract_all(t, '{pattern}', {rule.group})) AS part,
+        unnest(string_split_regex(t, '{pattern}')[:len(regexp_extract_all(t, '{pattern}'))]) AS gap, unnest(range(len(regexp_extract_all(t, '{pattern}')))) AS i, {rule.least} AS least FROM d""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    m AS ({" UNION ALL ".join(found)}),
+    p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY r, o ORDER BY i) AS e FROM m),
+    s AS (SELECT r, o, kind, (e - length(hit))::BIGINT AS a, kind || ':' || (e - length(hit))::BIGINT || ':' || e::BIGINT AS span FROM p WHERE length(part) >= least),
+    g AS (SELECT r, {counts}, string_agg(span, ',' ORDER BY a, o) FILTER (o < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY a, o) AS spans FROM s GROUP BY r)
+    SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
+
+ORACLE_SQL = {"op2_secret_scan": _duckdb()}

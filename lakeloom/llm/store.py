@@ -35,3 +35,11 @@ def partitions_for(df: DataFrame, mb: int = 16) -> int:
     """Shuffle partitions so that each gets about ``mb`` MB of the source, and never fewer than the session asks for."""
     asked = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(asked, source_bytes(df) // (mb << 20) + 1)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables below the shared folder; call it when no result of these operators is still to be read."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/lakeloom")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -290,10 +290,14 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, recall: float = RE
     shards = folded.groupBy("label", "size").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
     dealt = folded.join(materialise(shards, "shards"), ["label", "size"]).withColumn("shard", F.pmod(F.xxhash64("rid"), F.col("shards")).cast("long")).drop("shards")
     dealt = materialise(dealt, "dealt")
+    # A shard is much work on few bytes: explicit partition counts keep AQE from putting shards together.
+    groups = ["label", "size", "shard"]
+    tasks = 4 * dealt.select(*groups).distinct().count()
+    dealt = dealt.repartition(min(max(tasks, 8), 100_000), *groups)
     kind = f"label {folded.schema['label'].dataType.simpleString()}, size int"
-    graphs = materialise(dealt.groupBy("label", "size", "shard").applyInPandas(_build, f"{kind}, shard long, graph binary"), "graphs")
-    blocks = materialise(dealt.groupBy("label", "size", "shard").applyInPandas(_block, f"{kind}, block long, queries binary"), "blocks")
-    met = graphs.join(blocks, ["label", "size"]).groupBy("label", "size", "shard", "block").applyInPandas(_search(least, recall), "rid long, n long, root long")
+    graphs = materialise(dealt.groupBy(*groups).applyInPandas(_build, f"{kind}, shard long, graph binary"), "graphs")
+    blocks = materialise(dealt.groupBy(*groups).applyInPandas(_block, f"{kind}, block long, queries binary"), "blocks")
+    met = graphs.join(blocks, ["label", "size"]).repartition(min(max(tasks, 8), 100_000), *groups, "block").groupBy(*groups, "block").applyInPandas(_search(least, recall), "rid long, n long, root long")
     met = materialise(met, "met")
     counts = met.groupBy("rid").agg(F.sum("n").alias("n"))
     edges = met.filter("root >= 0 and root <> rid").select(F.col("rid").alias("a"), F.col("root").alias("b"))

@@ -44,6 +44,7 @@ PERCENT = 80
 BROADCAST_ROWS = 1_000_000
 STARS = 8
 BLOCK = 256
+ROWS_PER_PART = 100_000
 _PACKED = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 _PACKED_DDL = "part int, owners binary, sizes binary, counts binary, keys binary"
 
@@ -288,6 +289,7 @@ class _Join:
         self.prefixes = materialise(prefixes, "prefixes")
         self.sets = materialise(self._sets(), "sets")
         self.buckets = materialise(self.prefixes.select("class", "n", F.posexplode("p1").alias("place", "token")), "buckets")
+        self.parts = max(8, self.buckets.count() // ROWS_PER_PART)
         self.links: DataFrame | None = None
         self.found: DataFrame | None = None
 
@@ -312,9 +314,9 @@ class _Join:
         self.join_links(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(self.percent), "a long, b long"))
 
     def join_links(self, found: DataFrame) -> None:
-        new = materialise(found, "links")
+        new = materialise(found, "links", self.parts)
         self.links = new if self.links is None else self.links.union(new)
-        self.found = materialise(components(self.links), "found")
+        self.found = materialise(components(self.links), "found", self.parts)
 
     def placed(self) -> DataFrame:
         """Buckets with the component of each class."""
@@ -327,17 +329,17 @@ class _Join:
     def run(self) -> DataFrame:
         rank = F.struct(F.xxhash64("class").alias("h"), F.col("class").alias("c"), F.col("n").alias("m"))
         few = self.buckets.filter(F.col("place") < STARS)
-        leaders = materialise(few.groupBy("token").agg(F.min(rank).alias("lead"), F.count("*").alias("k")).filter("k > 1").select("token", "lead.c", "lead.m"), "leaders")
+        leaders = materialise(few.groupBy("token").agg(F.min(rank).alias("lead"), F.count("*").alias("k")).filter("k > 1").select("token", "lead.c", "lead.m"), "leaders", self.parts)
         stars = few.join(leaders, "token").filter(F.col("c") != F.col("class")).filter(self.fits("n", "m"))
-        self.compare(materialise(stars.select(F.col("c").alias("a"), F.col("class").alias("b")).distinct(), "stars"))
+        self.compare(materialise(stars.select(F.col("c").alias("a"), F.col("class").alias("b")).distinct(), "stars", self.parts))
 
-        open_buckets = materialise(self.mixed(self.placed()), "open")
+        open_buckets = materialise(self.mixed(self.placed()), "open", self.parts)
         rank = F.struct(F.xxhash64("class", "token").alias("h"), F.col("class").alias("c"), F.col("n").alias("m"), F.col("component").alias("d"))
-        leaders = materialise(open_buckets.groupBy("token").agg(F.min(rank).alias("lead")).select("token", "lead.c", "lead.m", "lead.d"), "leaders")
+        leaders = materialise(open_buckets.groupBy("token").agg(F.min(rank).alias("lead")).select("token", "lead.c", "lead.m", "lead.d"), "leaders", self.parts)
         stars = open_buckets.join(leaders, "token").filter("component != d").filter(self.fits("n", "m"))
-        self.compare(materialise(stars.select(F.greatest("c", "class").alias("a"), F.least("c", "class").alias("b")).distinct(), "stars"))
+        self.compare(materialise(stars.select(F.greatest("c", "class").alias("a"), F.least("c", "class").alias("b")).distinct(), "stars", self.parts))
 
-        last = materialise(self.mixed(self.placed()), "open")
+        last = materialise(self.mixed(self.placed()), "open", self.parts)
         if not last.isEmpty():
             self.join_links(self.blocks(last))
         return self.result()
@@ -349,31 +351,30 @@ class _Join:
         component fills blocks of its own, by component. Blocks that share a bucket meet once; two blocks
         wholly of one component do not meet. A meeting counts overlaps as products of incidence matrices.
         """
-        full = materialise(last.groupBy("token").agg(F.count("*").alias("k")), "full")
+        full = materialise(last.groupBy("token").agg(F.count("*").alias("k")), "full", self.parts)
         home = last.join(full, "token").groupBy("class", "component").agg(F.max(F.struct("k", "token")).alias("best"))
-        home = materialise(home.select("class", "component", F.col("best.token").alias("home")), "home")
+        home = materialise(home.select("class", "component", F.col("best.token").alias("home")), "home", self.parts)
         large = home.groupBy("home", "component").agg(F.count("*").alias("many"))
         own = F.when(F.col("many") >= BLOCK, F.col("component"))
-        home = materialise(home.join(materialise(large, "large"), ["home", "component"]).withColumn("own", own), "home")
+        home = materialise(home.join(materialise(large, "large"), ["home", "component"]).withColumn("own", own), "home", self.parts)
         sizes = home.groupBy("home", "own").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-        sizes = materialise(sizes.withColumn("of", F.xxhash64("home", F.coalesce("own", F.lit(0)), F.col("own").isNull())), "sizes")
+        sizes = materialise(sizes.withColumn("of", F.xxhash64("home", F.coalesce("own", F.lit(0)), F.col("own").isNull())), "sizes", self.parts)
         dealt = home.withColumn("of", F.xxhash64("home", F.coalesce("own", F.lit(0)), F.col("own").isNull())).join(sizes.select("of", "parts"), "of")
-        dealt = materialise(dealt.select("class", "component", F.xxhash64("of", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("block")), "dealt")
-        seen = materialise(last.join(dealt.select("class", "block"), "class").groupBy("block", "token").agg(F.count("*").alias("k")), "seen")
+        dealt = materialise(dealt.select("class", "component", F.xxhash64("of", F.pmod(F.xxhash64("class"), F.col("parts"))).alias("block")), "dealt", self.parts)
+        seen = materialise(last.join(dealt.select("class", "block"), "class").groupBy("block", "token").agg(F.count("*").alias("k")), "seen", self.parts)
         pure = dealt.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        pure = materialise(pure.withColumn("only", F.when(F.col("x") == F.col("y"), F.col("x"))).select("block", "only"), "pure")
+        pure = materialise(pure.withColumn("only", F.when(F.col("x") == F.col("y"), F.col("x"))).select("block", "only"), "pure", self.parts)
         pairs = seen.select("token", F.col("block").alias("a")).join(seen.select("token", F.col("block").alias("b")), "token").filter("a <= b").select("a", "b").distinct()
         pairs = pairs.join(pure.toDF("a", "only_a"), "a").join(pure.toDF("b", "only_b"), "b").filter("not coalesce(only_a = only_b, false)").select("a", "b")
         packed = dealt.join(self.sets, "class").groupBy("block").agg(F.collect_list(F.struct("class", "component", "tokens", "p1", "p2", "p3")).alias("m"))  # about BLOCK classes
         packed = materialise(packed, "blocks")
-        met = materialise(pairs, "meetings").join(packed.toDF("a", "m_a"), "a").join(packed.toDF("b", "m_b"), "b")
+        met = materialise(pairs, "meetings", self.parts).join(packed.toDF("a", "m_a"), "a").join(packed.toDF("b", "m_b"), "b")
         return met.select("m_a", "m_b").mapInArrow(_meet(self.percent), "a long, b long")
 
-    @staticmethod
-    def mixed(placed: DataFrame) -> DataFrame:
+    def mixed(self, placed: DataFrame) -> DataFrame:
         """The rows of buckets that hold classes of several components."""
         tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
-        return placed.join(materialise(tokens, "tokens"), "token", "left_semi").select("class", "n", "token", "component")
+        return placed.join(materialise(tokens, "tokens", self.parts), "token", "left_semi").select("class", "n", "token", "component")
 
     def result(self) -> DataFrame:
         known = self.found.select(F.col("node").alias("class"), "component")

@@ -17,9 +17,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lakeloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
+def materialise(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
+
+    ``parts``: at most so many files, for tables whose size is known to need no more.
+    """
     path = shared_dir(df.sparkSession, name)
+    df = df.coalesce(parts) if parts else df
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

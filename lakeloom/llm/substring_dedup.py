@@ -261,7 +261,8 @@ def dedup_substrings(docs: DataFrame, batches: int = 2, untouched: bool = False)
     if bounds.lo is None or batches < 2:
         return index.dedup(docs, keep_run=False, untouched=untouched)
     step = (bounds.hi - bounds.lo) // batches + 1
-    number = F.coalesce(F.floor((F.col("doc_id") - bounds.lo) / step), F.lit(0))
+    place = (F.col("doc_id").cast("double") - F.lit(float(bounds.lo))) / F.lit(float(step))  # doubles: no overflow, and still in order of the ids
+    number = F.coalesce(F.least(F.floor(place), F.lit(batches - 1)), F.lit(0))
     out = None
     for i in range(batches):
         part = index.dedup(docs.filter(number == i), docs.filter(number < i) if i else None, keep_run=i < batches - 1, untouched=untouched)

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe, flat
+from .store import materialise
 
 FIT_ROWS = 16_000
 THRESHOLD = 0.3
@@ -327,7 +328,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     marked = marked.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, fit_rows / max(1, marked.count()))
     chosen = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).withColumn("fold", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))).cast("int"))
-    rows = docs.select(key.alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most about fit_rows rows
+    rows = docs.select(key.alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most about fit_rows ids
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("fold").alias("fold"))  # of several texts of one id, the first
+    rows = materialise(rows, "labelled")
     sizes = {(r.fold, r.toxic): r.n for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     positives = [sizes.get((f, 1), 0) for f in (0, 1)]
     negatives = [sizes.get((f, 0), 0) for f in (0, 1)]

@@ -112,10 +112,15 @@ def type_cast(df: DataFrame, casts: Sequence[Mapping], strict: bool = True) -> D
     return df.withColumns(wanted) if wanted else df
 
 
+#: Types that column names imply (fixed values): a whole name, and a part of one.
+NAME_TYPES = {"wafer_id": "int64"}
+PART_TYPES = {"time": "datetime"}
+
+
 def name_rule(name: str) -> str | None:
     """Type that a column's name implies."""
     lower = name.lower()
-    return "int64" if lower == "wafer_id" else "datetime" if "time" in lower else None
+    return NAME_TYPES.get(lower) or next((kind for part, kind in PART_TYPES.items() if part in lower), None)
 
 
 def grouped_cast(df: DataFrame, groups: Mapping[str, Sequence[str]], default: str = "string") -> DataFrame:

@@ -3,14 +3,16 @@
 Fitting reads at most about ``fit_rows`` labelled documents (chosen by a hash of their id), never those
 whose crc32(doc_id as text) mod 4 is 2. Terms are whole words and word stems (prefixes) that are far more
 common in toxic documents than in others. A stem is kept only if no longer stem, and no word, that starts
-with it is in as many toxic documents, and a term goes that has a stem of nearly its weight. The ``TERMS`` strongest are kept. Each term weighs its smoothed log odds. A logistic model over a few
-features of a document's hits gives the score; its training features come from terms learned on the other
+with it is in as many toxic documents, and a term goes that has a stem of nearly its weight. Near copies (by
+the least hash of their runs of three words) count once for the choice of terms, and a term is kept only if its
+share of toxic documents would hardly come by chance (of all kept, about ``CHANCE`` may; Benjamini-Hochberg). The ``TERMS`` strongest are kept. Each term weighs its smoothed log odds. A logistic model over a
+few features of a document's hits gives the score; its training features come from terms learned on the other
 half of the rows.
 
 Scoring works on flat arrays of a chunk's distinct words. Exact words and stems are found by hash. For
-misspellings of the ``SPELT`` most frequent terms (one edit, from five letters on; two from ten on), words that share a piece with a
-term, as every word within that distance must, are walked through the trie of terms together with their
-Levenshtein automaton. A hit with quotation marks shortly before and after it counts as quoted,
+misspellings of any word among the terms (one edit, from five letters on; two from ten on), words that share a
+piece with a term of fitting length, as every word within that distance must, are walked through the trie of
+terms together with their Levenshtein automaton. A hit with quotation marks shortly before and after it counts as quoted,
 any other as abuse.
 
 Inputs of a score are the text and the learned terms only. Cases: a null or empty text has no hits and
@@ -44,7 +46,7 @@ NEAR = 60
 WORD = re.compile(r"[^\W\d_]+")
 FEATURES = 8
 TERMS = 200
-SPELT = 40
+CHANCE = 0.05
 NEARLY = 0.7
 
 
@@ -98,7 +100,6 @@ class Trie:
 class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    spelt: frozenset[str] | None = None  # words whose misspellings count; None: all
 
     def __post_init__(self):
         self.terms = sorted(self.words) + sorted(self.stems)
@@ -114,19 +115,20 @@ class Lexicon:
             for size in {len(t) for t in terms}:
                 pairs = sorted((hashed(t), base + i) for i, t in enumerate(terms) if len(t) == size)
                 self.by_length[whole, size] = np.array([h for h, _ in pairs], flat.U), np.array([i for _, i in pairs])
-        self.fuzzy = [t for t in sorted(self.words) if len(t) >= 5 and (self.spelt is None or t in self.spelt)]
+        self.fuzzy = [t for t in sorted(self.words) if len(t) >= 5]
         self.trie = Trie(self.fuzzy)
         self.fuzzy_id = [self.terms.index(t) for t in self.fuzzy]
-        # pieces: (from the end, length of it) of a word; within k edits one of k+1 pieces of a term survives,
-        # shifted by k at most; first and last pieces stand at the ends.
-        self.pieces: dict[tuple[int, int], set[int]] = {}
+        # pieces: (size, start, length) of a word; within k edits one of k+1 pieces of a term survives,
+        # shifted by k at most; the first stands at the start, the last at the end.
+        self.pieces: dict[tuple[int, int, int], set[int]] = {}
         for t in self.fuzzy:
             k, n = allowed(len(t)), len(t)
             cuts = [n * i // (k + 1) for i in range(k + 2)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                for shift in range(-k, k + 1):
-                    if a + shift >= 0:
-                        self.pieces.setdefault((a + shift, b - a), set()).add(hashed(t[a:b]))
+            for size in range(n - k, n + k + 1):
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    for shift in (0,) if a == 0 else (size - n,) if b == n else range(-k, k + 1):
+                        if a + shift >= 0 and b + shift <= size:
+                            self.pieces.setdefault((size, a + shift, b - a), set()).add(hashed(t[a:b]))
         self.piece_arrays = {key: np.array(sorted(v), flat.U) for key, v in self.pieces.items()}
         self.seen: dict[str, int] = {}
 
@@ -211,8 +213,8 @@ def features(texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, np.
         better = lexicon.weight[ids] > lexicon.weight[term[fits]]  # the last weight, of -1, is 0
         term[fits[better]], kind[fits[better]] = ids[better], 1 if whole else 2
     near = np.zeros(len(example), bool)
-    for (begin, length), known in lexicon.piece_arrays.items():
-        fits = np.flatnonzero((size >= begin + length) & (term < 0) & (size >= 4) & ~near)
+    for (long, begin, length), known in lexicon.piece_arrays.items():
+        fits = np.flatnonzero((size == long) & (term < 0) & ~near)
         near[fits] = np.isin(span(at[fits] + begin, at[fits] + begin + length), known)
     for i in np.flatnonzero(near).tolist():
         found = lexicon.misspelt(chars[at[i] : at[i] + size[i]].tobytes().decode("utf-32-le"))
@@ -244,27 +246,37 @@ def features(texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, np.
     return out, np.bincount(row, minlength=n)
 
 
+def _chance(p: int, q: int, share: float) -> float:
+    """How likely p or more of p + q documents are toxic if ``share`` of all are."""
+    n = p + q
+    ways = math.lgamma(n + 1)
+    return math.fsum(math.exp(ways - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share)) for k in range(p, n + 1))
+
+
 def _choose(counts: dict[tuple[str, str], tuple[int, int]], positives: int, negatives: int) -> Lexicon:
     """Terms from (kind, text) -> documents that have it, toxic and other."""
     chosen: dict[str, dict[str, float]] = {"word": {}, "stem": {}}
     least = max(3, positives // 100)
+    share = positives / (positives + negatives + 1)
+    odds_of = {k: math.log((p + 0.5) / (positives + 1)) - math.log((q + 0.5) / (negatives + 1)) for k, (p, q) in counts.items() if p >= least}
+    chance = {k: _chance(*counts[k], share) for k, odds in odds_of.items() if odds >= 2.5}
+    limit = max((x for i, x in enumerate(sorted(chance.values()), 1) if x * len(odds_of) <= i * CHANCE), default=0.0)
     as_many = Counter()  # of each stem, the most toxic documents that a longer stem or a word with it has
     for (kind, text), (p, _) in counts.items():
         if p >= least:
             for stem in [text[:-1]] if kind == "stem" else [text[:k] for k in STEMS if k <= len(text)]:
                 as_many[stem] = max(as_many[stem], p)
     for (kind, text), (p, q) in sorted(counts.items(), key=lambda x: (x[0][0] != "stem", len(x[0][1]), x[0][1])):
-        odds = math.log((p + 0.5) / (positives + 1)) - math.log((q + 0.5) / (negatives + 1))
-        if p < least or odds < 2.5 or (kind == "stem" and as_many[text] >= p):
+        if chance.get((kind, text), 1.0) > limit or (kind == "stem" and as_many[text] >= p):
             continue
+        odds = odds_of[kind, text]
         if any(chosen["stem"].get(text[:k], -9.0) >= odds - NEARLY for k in STEMS if k < len(text)):
             continue  # its stem weighs as much
         chosen[kind][text] = odds
     strength = {(kind, t): w * math.sqrt(counts[kind, t][0]) for kind, terms in chosen.items() for t, w in terms.items()}
     for kind, t in sorted(strength, key=lambda x: (-strength[x], x))[TERMS:]:
         del chosen[kind][t]
-    found = {t: counts["word", t][0] for t in chosen["word"]}
-    return Lexicon(chosen["word"], chosen["stem"], frozenset(sorted(found, key=lambda t: (-found[t], t))[:SPELT]))
+    return Lexicon(chosen["word"], chosen["stem"])
 
 
 @dataclass
@@ -317,6 +329,21 @@ def _counts(wanted=None):
     return run
 
 
+def _sketched(batches):
+    """``sketch``: the least hash of a text's runs of three words, of all its words if it has fewer; near copies mostly share it."""
+    for batch in batches:
+        out = np.zeros(batch.num_rows, flat.U)
+        for first, end, data, offsets in flat.chunks(batch.column("text")):
+            starts, ends, rows = flat.words(flat.LOWER[data], offsets)
+            hashes = flat.span_hash(flat.LOWER[data], starts, ends)
+            grams, owners = flat.grams(hashes, rows, 3)
+            few = np.bincount(rows, minlength=end - first)[rows] < 3
+            np.add.at(out, first + rows[few], hashes[few])
+            out[first + owners] = np.iinfo(flat.U).max
+            np.minimum.at(out, first + owners, grams)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view(np.int64))], names=[*batch.schema.names, "sketch"])
+
+
 _COUNTS = "kind string, term string, fold int, toxic int, n long"
 
 
@@ -330,25 +357,26 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     chosen = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).withColumn("fold", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))).cast("int"))
     rows = docs.select(key.alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most about fit_rows ids
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("fold").alias("fold"))  # of several texts of one id, the first
-    rows = materialise(rows, "labelled")
-    sizes = {(r.fold, r.toxic): r.n for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    rows = materialise(rows.mapInArrow(_sketched, T.StructType([*rows.schema.fields, T.StructField("sketch", T.LongType())])), "labelled")
+    once = rows.join(F.broadcast(rows.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")), "doc_id")  # at most about fit_rows ids
+    sizes = {(r.fold, r.toxic): r.n for r in once.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     positives = [sizes.get((f, 1), 0) for f in (0, 1)]
     negatives = [sizes.get((f, 0), 0) for f in (0, 1)]
     nothing = Model(Lexicon(), np.array([-40.0] + [0.0] * (FEATURES - 1)))
     if not sum(positives):
         return nothing
     least = max(2, sum(positives) // 400)
-    toxic = rows.filter("toxic = 1").mapInArrow(_counts(), _COUNTS).groupBy("kind", "term", "fold", "toxic").agg(F.sum("n").alias("n"))
+    toxic = once.filter("toxic = 1").mapInArrow(_counts(), _COUNTS).groupBy("kind", "term", "fold", "toxic").agg(F.sum("n").alias("n"))
     toxic = toxic.groupBy("kind", "term").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"p{f}") for f in (0, 1)]).filter(F.col("p0") + F.col("p1") >= least)
     found = {(r.kind, r.term): (r.p0, r.p1) for r in toxic.collect()}  # a term is in 1/400 of the toxic rows: bounded by fit_rows
     wanted = spark.sparkContext.broadcast(tuple({t for k, t in found if k == kind} for kind in ("word", "stem")))
-    other = rows.filter("toxic = 0").mapInArrow(_counts(wanted), _COUNTS).groupBy("kind", "term").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"q{f}") for f in (0, 1)])
+    other = once.filter("toxic = 0").mapInArrow(_counts(wanted), _COUNTS).groupBy("kind", "term").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"q{f}") for f in (0, 1)])
     clean = {(r.kind, r.term): (r.q0, r.q1) for r in other.collect()}
     by_fold = [_choose({t: (p[f], clean.get(t, (0, 0))[f]) for t, p in found.items()}, positives[f], negatives[f]) for f in (0, 1)]
     whole = _choose({t: (sum(p), sum(clean.get(t, (0, 0)))) for t, p in found.items()}, sum(positives), sum(negatives))
     if not whole.terms:
         return nothing
-    shared = spark.sparkContext.broadcast([(x.words, x.stems, x.spelt) for x in by_fold])
+    shared = spark.sparkContext.broadcast([(x.words, x.stems) for x in by_fold])
 
     def train(batches):
         lexicons = [Lexicon(*x) for x in shared.value]
@@ -367,11 +395,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``n_hits``."""
     docs = docs.drop("score", "n_hits")
     names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.lexicon.spelt, model.weights))
+    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.weights))
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("n_hits", T.LongType())])
 
     def run(batches):
-        own = Model(Lexicon(*shared.value[:3]), shared.value[3])
+        own = Model(Lexicon(*shared.value[:2]), shared.value[2])
         for batch in batches:
             for first, end, texts in bpe.text_chunks(batch.column("text")):
                 rows, hits = features(texts, own.lexicon)

@@ -61,6 +61,18 @@ def test_toxicity_finds_held_out_and_misspelt_terms(spark):
     assert toxicity.score(odd.limit(0), model).collect() == []
 
 
+def test_every_chosen_word_is_looked_for_misspelt(spark):
+    rng, letters = random.Random(12), "abcdefghijklmnopqrstuvwxyz"
+    insults = ["".join(rng.choice(letters) for _ in range(rng.choice([8, 9, 11]))) for _ in range(60)]
+    rows = [(i, " ".join([f"{rng.choice(letters)}{rng.choice(letters)}ran" for _ in range(12)] + rng.sample(insults, 4) * (i % 4 == 0)), int(i % 4 == 0)) for i in range(2400)]
+    copied = " ".join("".join(rng.choice(letters) for _ in range(7)) for _ in range(40))
+    rows += [(3000 + i, f"{copied} {rng.choice(letters)}{rng.choice(letters)}ran {insults[0]}", 1) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert set(insults) <= set(model.lexicon.fuzzy) and not set(copied.split()) & set(model.lexicon.words)
+    assert toxicity.features([w[:3] + "é" + w[3:] for w in insults], model.lexicon)[1].tolist() == [1] * 60
+
+
 def test_pieces_never_miss_a_misspelling():
     lexicon = toxicity.Lexicon({"vilenoun": 4.0, "scumbaggery": 5.0}, {})
     rng = random.Random(3)

@@ -12,7 +12,9 @@ half of the rows.
 Scoring works on flat arrays of a chunk's distinct words. Exact words and stems are found by hash. For
 misspellings of any word among the terms (one edit, from five letters on; two from ten on), words that share a
 piece with a term of fitting length, as every word within that distance must, are walked through the trie of
-terms together with their Levenshtein automaton. A hit with quotation marks shortly before and after it counts as quoted,
+terms together with their Levenshtein automaton. A misspelling counts as its term with ``SPELLING`` of the weight
+for each edit, unless a stem of it weighs more. A word near a term is no misspelling if training rows without toxic label have it and
+its own log odds are below ``LEAST_ODDS``. A hit with quotation marks shortly before and after it counts as quoted,
 any other as abuse.
 
 Inputs of a score are the text and the learned terms only. Cases: a null or empty text has no hits and
@@ -44,10 +46,12 @@ STEMS = range(3, 10)
 QUOTES = '"“”„«»'
 NEAR = 60
 WORD = re.compile(r"[^\W\d_]+")
-FEATURES = 8
+FEATURES = 7
 TERMS = 200
 CHANCE = 0.05
 NEARLY = 0.7
+LEAST_ODDS = 2.5
+SPELLING = 0.8
 
 
 class Trie:
@@ -100,6 +104,7 @@ class Trie:
 class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    ordinary: frozenset[str] = frozenset()  # words near a term that are no misspellings
 
     def __post_init__(self):
         self.terms = sorted(self.words) + sorted(self.stems)
@@ -130,15 +135,17 @@ class Lexicon:
                         if a + shift >= 0 and b + shift <= size:
                             self.pieces.setdefault((size, a + shift, b - a), set()).add(hashed(t[a:b]))
         self.piece_arrays = {key: np.array(sorted(v), flat.U) for key, v in self.pieces.items()}
-        self.seen: dict[str, int] = {}
+        self.seen: dict[str, tuple[int, float]] = {}
 
-    def misspelt(self, word: str) -> int:
-        """The term that ``word`` misspells, or -1."""
+    def misspelt(self, word: str) -> tuple[int, float]:
+        """The term that ``word`` misspells and its weight there, or -1 and 0."""
         if word not in self.seen:
             if len(self.seen) > 300_000:
                 self.seen.clear()
-            near = [(e, i) for e, i in self.trie.within(word, allowed(len(word) + 1)) if 0 < e <= allowed(len(self.fuzzy[i]))]
-            self.seen[word] = self.fuzzy_id[near[0][1]] if near else -1
+            near = [] if word in self.ordinary else self.trie.within(word, allowed(len(word) + 2))
+            found = [(float(self.weight[self.fuzzy_id[i]]) * SPELLING**e, -self.fuzzy_id[i]) for e, i in near if 0 < e <= allowed(len(self.fuzzy[i]))]
+            weight, term = max(found, default=(0.0, 1))
+            self.seen[word] = -term, weight
         return self.seen[word]
 
 
@@ -172,8 +179,8 @@ def _hashes(points, starts, ends, code):
     return lambda s, e: flat.mix((total[e] - total[s]) * inverse[s] + (e - s).astype(flat.U))
 
 
-def features(texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of ``texts`` and the hits of each."""
+def features(texts: list[str | None], lexicon: Lexicon, misspelt: list[tuple[int, str]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows of ``texts`` and the hits of each; to ``misspelt`` goes each misspelling with its row."""
     n = len(texts)
     lowered = [(t or "").lower() for t in texts]
     offsets = np.cumsum([0, *map(len, lowered)])
@@ -203,46 +210,54 @@ def features(texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, np.
     at = np.cumsum(size) - size
     span = _hashes(chars, at, at + size, code)
     term = np.full(len(example), -1)
-    kind = np.zeros(len(example), np.int8)  # 1 word, 2 stem, 3 misspelling
+    worth = np.zeros(len(example))
+    exact = np.zeros(len(example), bool)
     for (whole, length), (known, ids) in lexicon.by_length.items():
         fits = np.flatnonzero(size == length if whole else size >= length)
         h = span(at[fits], at[fits] + length)
         place = np.minimum(np.searchsorted(known, h), len(known) - 1)
         ok = known[place] == h
         fits, ids = fits[ok], ids[place[ok]]
-        better = lexicon.weight[ids] > lexicon.weight[term[fits]]  # the last weight, of -1, is 0
-        term[fits[better]], kind[fits[better]] = ids[better], 1 if whole else 2
+        exact[fits] |= whole
+        better = lexicon.weight[ids] > worth[fits]
+        term[fits[better]], worth[fits[better]] = ids[better], lexicon.weight[ids[better]]
     near = np.zeros(len(example), bool)
     for (long, begin, length), known in lexicon.piece_arrays.items():
-        fits = np.flatnonzero((size == long) & (term < 0) & ~near)
+        fits = np.flatnonzero((size == long) & ~exact & ~near)
         near[fits] = np.isin(span(at[fits] + begin, at[fits] + begin + length), known)
+    spelt: dict[int, str] = {}
     for i in np.flatnonzero(near).tolist():
-        found = lexicon.misspelt(chars[at[i] : at[i] + size[i]].tobytes().decode("utf-32-le"))
-        if found >= 0:
-            term[i], kind[i] = found, 3
+        word = chars[at[i] : at[i] + size[i]].tobytes().decode("utf-32-le", "surrogatepass")
+        found, weight = lexicon.misspelt(word)
+        if weight > worth[i]:
+            term[i], worth[i], spelt[i] = found, weight, word
+    if misspelt is not None and spelt:
+        some = np.flatnonzero(np.isin(slot, list(spelt)))
+        rows = np.searchsorted(offsets, starts[some], "right") - 1
+        misspelt.extend((r, spelt[i]) for r, i in sorted(set(zip(rows.tolist(), slot[some].tolist(), strict=True))))
     hit = np.flatnonzero(term[slot] >= 0)
     if not len(hit):
         return out, np.zeros(n, np.int64)
     row = np.searchsorted(offsets, starts[hit], "right") - 1
-    ids, how = term[slot[hit]], kind[slot[hit]]
+    ids, weight = term[slot[hit]], worth[slot[hit]]
     quote = np.flatnonzero(np.isin(points, [ord(c) for c in QUOTES]))
     quoted = np.zeros(len(hit), bool)
     if len(quote):
         i = np.searchsorted(quote, starts[hit])
         left, right = quote[np.maximum(i - 1, 0)], quote[np.minimum(i, len(quote) - 1)]
         quoted = (i > 0) & (i < len(quote)) & (left >= np.maximum(starts[hit] - NEAR, offsets[row])) & (right < np.minimum(ends[hit] + NEAR, offsets[row + 1]))
-    weight = lexicon.weight[ids]
-    plain = ~quoted & (how < 3)
-    distinct = np.unique(np.stack((row[plain], ids[plain])), axis=1)
+    plain = ~quoted
+    pairs, which = np.unique(row[plain] * len(lexicon.terms) + ids[plain], return_inverse=True)
+    most = np.zeros(len(pairs))  # a term counts once for each document, as spelt best
+    np.maximum.at(most, which, weight[plain])
     words = np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=n)
-    total = np.bincount(distinct[0], lexicon.weight[distinct[1]], n)
+    total = np.bincount(pairs // len(lexicon.terms), most, n)
     np.maximum.at(out[:, 1], row[plain], weight[plain])
     out[:, 2] = np.minimum(total, 60)
     out[:, 3] = np.log1p(np.bincount(row[plain], minlength=n))
-    out[:, 4] = np.log1p(np.bincount(row[(how == 3) & ~quoted], minlength=n))
-    out[:, 5] = np.log1p(np.bincount(row[quoted], minlength=n))
-    out[:, 6] = np.log1p(100 * np.bincount(row[plain], minlength=n) / np.maximum(words, 1))
-    out[:, 7] = np.log1p(words)
+    out[:, 4] = np.log1p(np.bincount(row[quoted], minlength=n))
+    out[:, 5] = np.log1p(100 * np.bincount(row[plain], minlength=n) / np.maximum(words, 1))
+    out[:, 6] = np.log1p(words)
     return out, np.bincount(row, minlength=n)
 
 
@@ -253,13 +268,17 @@ def _chance(p: int, q: int, share: float) -> float:
     return math.fsum(math.exp(ways - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share)) for k in range(p, n + 1))
 
 
+def _odds(p: int, q: int, positives: int, negatives: int) -> float:
+    return math.log((p + 0.5) / (positives + 1)) - math.log((q + 0.5) / (negatives + 1))
+
+
 def _choose(counts: dict[tuple[str, str], tuple[int, int]], positives: int, negatives: int) -> Lexicon:
     """Terms from (kind, text) -> documents that have it, toxic and other."""
     chosen: dict[str, dict[str, float]] = {"word": {}, "stem": {}}
     least = max(3, positives // 100)
     share = positives / (positives + negatives + 1)
-    odds_of = {k: math.log((p + 0.5) / (positives + 1)) - math.log((q + 0.5) / (negatives + 1)) for k, (p, q) in counts.items() if p >= least}
-    chance = {k: _chance(*counts[k], share) for k, odds in odds_of.items() if odds >= 2.5}
+    odds_of = {k: _odds(p, q, positives, negatives) for k, (p, q) in counts.items() if p >= least}
+    chance = {k: _chance(*counts[k], share) for k, odds in odds_of.items() if odds >= LEAST_ODDS}
     limit = max((x for i, x in enumerate(sorted(chance.values()), 1) if x * len(odds_of) <= i * CHANCE), default=0.0)
     as_many = Counter()  # of each stem, the most toxic documents that a longer stem or a word with it has
     for (kind, text), (p, _) in counts.items():
@@ -376,7 +395,29 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     whole = _choose({t: (sum(p), sum(clean.get(t, (0, 0)))) for t, p in found.items()}, sum(positives), sum(negatives))
     if not whole.terms:
         return nothing
-    shared = spark.sparkContext.broadcast([(x.words, x.stems) for x in by_fold])
+    drafts = spark.sparkContext.broadcast([(x.words, x.stems) for x in (*by_fold, whole)])
+
+    def near_words(batches):
+        lexicons = [Lexicon(*x) for x in drafts.value]
+        for batch in batches:
+            for first, end, texts in bpe.text_chunks(batch.column("text")):
+                toxic, fold = (batch.column(c).slice(first, end - first).to_pylist() for c in ("toxic", "fold"))
+                found: Counter = Counter()
+                for k, lexicon in enumerate(lexicons):
+                    words: list[tuple[int, str]] = []
+                    features(texts, lexicon, words)
+                    found.update((w, k, toxic[r]) for r, w in words if k == 2 or fold[r] == k)
+                rows = list(found.items())
+                yield pa.RecordBatch.from_pydict({"kind": ["near"] * len(rows), "term": [x[0] for x, _ in rows], "fold": pa.array([x[1] for x, _ in rows], pa.int32()), "toxic": pa.array([x[2] for x, _ in rows], pa.int32()), "n": pa.array([n for _, n in rows], pa.int64())})
+
+    seen = once.mapInArrow(near_words, _COUNTS).groupBy("term", "fold").agg(*[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(n) for n, y in (("p", 1), ("q", 0))])
+    ordinary: list[set[str]] = [set(), set(), set()]
+    for r in seen.filter("q > 0").collect():  # words of at most about fit_rows rows
+        if _odds(r.p, r.q, *((positives[r.fold], negatives[r.fold]) if r.fold < 2 else (sum(positives), sum(negatives)))) < LEAST_ODDS:
+            ordinary[r.fold].add(r.term)
+    by_fold = [Lexicon(x.words, x.stems, frozenset(o)) for x, o in zip(by_fold, ordinary, strict=False)]
+    whole = Lexicon(whole.words, whole.stems, frozenset(ordinary[2]))
+    shared = spark.sparkContext.broadcast([(x.words, x.stems, x.ordinary) for x in by_fold])
 
     def train(batches):
         lexicons = [Lexicon(*x) for x in shared.value]
@@ -395,11 +436,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``n_hits``."""
     docs = docs.drop("score", "n_hits")
     names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.weights))
+    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.words, model.lexicon.stems, model.lexicon.ordinary, model.weights))
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("n_hits", T.LongType())])
 
     def run(batches):
-        own = Model(Lexicon(*shared.value[:2]), shared.value[2])
+        own = Model(Lexicon(*shared.value[:3]), shared.value[3])
         for batch in batches:
             for first, end, texts in bpe.text_chunks(batch.column("text")):
                 rows, hits = features(texts, own.lexicon)

@@ -73,6 +73,16 @@ def test_every_chosen_word_is_looked_for_misspelt(spark):
     assert toxicity.features([w[:3] + "é" + w[3:] for w in insults], model.lexicon)[1].tolist() == [1] * 60
 
 
+def test_misspelt_insults_cross_the_threshold(spark):
+    rows = [(i, f"{t} vilenouk" if i % 9 == 1 and not y else t, y) for i, t, y in toxic_corpus(random.Random(13))]
+    model = toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    texts = ["you are a vilennoun", "loran madel vilenon tuel", "a scumbger", "loran vilenouk", 'he wrote "you are a vilennoun" there', "loran madel"]
+    got = [r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert [s >= toxicity.THRESHOLD for s in got[:4]] == [True, True, True, False] and got[4] < got[0] and got[5] < toxicity.THRESHOLD
+    assert "vilenouk" in model.lexicon.ordinary
+    assert toxicity.features(["abcdefgh"], toxicity.Lexicon({"abcdefghij": 5.0}, {}))[1].tolist() == [1]
+
+
 def test_pieces_never_miss_a_misspelling():
     lexicon = toxicity.Lexicon({"vilenoun": 4.0, "scumbaggery": 5.0}, {})
     rng = random.Random(3)

@@ -5,7 +5,8 @@ whose crc32(doc_id as text) mod 4 is 2. Terms are whole words and word stems (pr
 common in toxic documents than in others. A stem is kept only if no longer stem, and no word, that starts
 with it is in as many toxic documents, and a term goes that has a stem of nearly its weight. Near copies (by
 the least hash of their runs of three words) count once for the choice of terms, and a term is kept only if its
-share of toxic documents would hardly come by chance (of all kept, about ``CHANCE`` may; Benjamini-Hochberg). The ``TERMS`` strongest are kept. Each term weighs its smoothed log odds. A logistic model over a
+share of toxic documents would hardly come by chance (of all kept, about ``CHANCE`` may; Benjamini-Hochberg). Fewer than
+``LEAST_ROWS`` toxic documents are no evidence. Each term weighs its smoothed log odds. A logistic model over a
 few features of a document's hits gives the score; its training features come from terms learned on the other
 half of the rows.
 
@@ -18,8 +19,7 @@ its own log odds are below ``LEAST_ODDS``. A hit with quotation marks shortly be
 any other as abuse.
 
 Inputs of a score are the text and the learned terms only. Cases: a null or empty text has no hits and
-the model's base score; ties in term choice go to the heavier, then alphabetically first term; repeated
-rows score alike; a null doc_id is scored and never trained on; labels that are null are not used, of
+the model's base score; repeated rows score alike; a null doc_id is scored and never trained on; labels that are null are not used, of
 several for one document the largest is; without toxic rows to learn from every score is 0; no
 rows give no rows. Other columns pass unchanged; ``score`` and ``n_hits`` replace columns of these names.
 """
@@ -47,7 +47,7 @@ QUOTES = '"“”„«»'
 NEAR = 60
 WORD = re.compile(r"[^\W\d_]+")
 FEATURES = 7
-TERMS = 200
+LEAST_ROWS = 3
 CHANCE = 0.05
 NEARLY = 0.7
 LEAST_ODDS = 2.5
@@ -122,7 +122,8 @@ class Lexicon:
                 self.by_length[whole, size] = np.array([h for h, _ in pairs], flat.U), np.array([i for _, i in pairs])
         self.fuzzy = [t for t in sorted(self.words) if len(t) >= 5]
         self.trie = Trie(self.fuzzy)
-        self.fuzzy_id = [self.terms.index(t) for t in self.fuzzy]
+        place = {t: i for i, t in enumerate(sorted(self.words))}
+        self.fuzzy_id = [place[t] for t in self.fuzzy]
         # pieces: (size, start, length) of a word; within k edits one of k+1 pieces of a term survives,
         # shifted by k at most; the first stands at the start, the last at the end.
         self.pieces: dict[tuple[int, int, int], set[int]] = {}
@@ -275,14 +276,13 @@ def _odds(p: int, q: int, positives: int, negatives: int) -> float:
 def _choose(counts: dict[tuple[str, str], tuple[int, int]], positives: int, negatives: int) -> Lexicon:
     """Terms from (kind, text) -> documents that have it, toxic and other."""
     chosen: dict[str, dict[str, float]] = {"word": {}, "stem": {}}
-    least = max(3, positives // 100)
     share = positives / (positives + negatives + 1)
-    odds_of = {k: _odds(p, q, positives, negatives) for k, (p, q) in counts.items() if p >= least}
+    odds_of = {k: _odds(p, q, positives, negatives) for k, (p, q) in counts.items() if p >= LEAST_ROWS}
     chance = {k: _chance(*counts[k], share) for k, odds in odds_of.items() if odds >= LEAST_ODDS}
     limit = max((x for i, x in enumerate(sorted(chance.values()), 1) if x * len(odds_of) <= i * CHANCE), default=0.0)
     as_many = Counter()  # of each stem, the most toxic documents that a longer stem or a word with it has
     for (kind, text), (p, _) in counts.items():
-        if p >= least:
+        if p >= LEAST_ROWS:
             for stem in [text[:-1]] if kind == "stem" else [text[:k] for k in STEMS if k <= len(text)]:
                 as_many[stem] = max(as_many[stem], p)
     for (kind, text), (p, q) in sorted(counts.items(), key=lambda x: (x[0][0] != "stem", len(x[0][1]), x[0][1])):
@@ -292,9 +292,6 @@ def _choose(counts: dict[tuple[str, str], tuple[int, int]], positives: int, nega
         if any(chosen["stem"].get(text[:k], -9.0) >= odds - NEARLY for k in STEMS if k < len(text)):
             continue  # its stem weighs as much
         chosen[kind][text] = odds
-    strength = {(kind, t): w * math.sqrt(counts[kind, t][0]) for kind, terms in chosen.items() for t, w in terms.items()}
-    for kind, t in sorted(strength, key=lambda x: (-strength[x], x))[TERMS:]:
-        del chosen[kind][t]
     return Lexicon(chosen["word"], chosen["stem"])
 
 
@@ -384,10 +381,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     nothing = Model(Lexicon(), np.array([-40.0] + [0.0] * (FEATURES - 1)))
     if not sum(positives):
         return nothing
-    least = max(2, sum(positives) // 400)
     toxic = once.filter("toxic = 1").mapInArrow(_counts(), _COUNTS).groupBy("kind", "term", "fold", "toxic").agg(F.sum("n").alias("n"))
-    toxic = toxic.groupBy("kind", "term").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"p{f}") for f in (0, 1)]).filter(F.col("p0") + F.col("p1") >= least)
-    found = {(r.kind, r.term): (r.p0, r.p1) for r in toxic.collect()}  # a term is in 1/400 of the toxic rows: bounded by fit_rows
+    toxic = toxic.groupBy("kind", "term").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"p{f}") for f in (0, 1)]).filter(F.col("p0") + F.col("p1") >= LEAST_ROWS)
+    found = {(r.kind, r.term): (r.p0, r.p1) for r in toxic.collect()}  # terms of at most about fit_rows rows
     wanted = spark.sparkContext.broadcast(tuple({t for k, t in found if k == kind} for kind in ("word", "stem")))
     other = once.filter("toxic = 0").mapInArrow(_counts(wanted), _COUNTS).groupBy("kind", "term").agg(*[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"q{f}") for f in (0, 1)])
     clean = {(r.kind, r.term): (r.q0, r.q1) for r in other.collect()}

@@ -83,6 +83,12 @@ def test_misspelt_insults_cross_the_threshold(spark):
     assert toxicity.features(["abcdefgh"], toxicity.Lexicon({"abcdefghij": 5.0}, {}))[1].tolist() == [1]
 
 
+def test_rare_insults_of_a_long_list_are_chosen():
+    insults = {("word", f"insult{'abcdefghij'[i // 100]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}"): (6, 0) for i in range(400)}
+    chosen = toxicity._choose(insults | {("word", f"plain{i}"): (3, 27) for i in range(400)}, 1600, 14000)
+    assert set(chosen.words) == {t for _, t in insults}
+
+
 def test_pieces_never_miss_a_misspelling():
     lexicon = toxicity.Lexicon({"vilenoun": 4.0, "scumbaggery": 5.0}, {})
     rng = random.Random(3)

@@ -6,8 +6,8 @@
 4. secret_scan: every secret is replaced by the name of its kind in brackets.
 5. best_fit_packing: token pieces with their sequence and offset.
 
-Stages 1 to 4 return the columns of their input. Rows with a null doc_id stay in stages 1 to 4, as does one row of
-several with one doc_id in stage 2.
+Stages 1 to 4 return the columns of their input. Rows with a null doc_id stay in stages 1 to 4. Rows that
+share a doc_id count as documents of their own in stage 2: only those whose own text is a copy go.
 """
 
 from __future__ import annotations
@@ -25,12 +25,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ids = docs.filter("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    if ids.n > ids.d:  # rows that share an id: each has a key of its own
+        keyed = materialise(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+        named = keyed.filter("doc_id is not null")
+        groups = jaccard_join.jaccard_components(named.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id")
+        first = named.select("row_key", "doc_id").join(groups, "row_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+        kept = keyed.join(first.select("first.row_key"), "row_key", "left_semi").unionByName(keyed.filter("doc_id is null"))
+        return kept.select(*docs.columns)
     groups = materialise(jaccard_join.jaccard_components(docs), "groups")
-    copies = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
-    ids = groups.filter("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    if ids.n > ids.d:  # rows that share an id: one of each stays
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
+    kept = docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
     return kept.select(*docs.columns)
 
 

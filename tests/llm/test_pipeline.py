@@ -77,6 +77,13 @@ def test_stages(spark, folder):
     assert max(whole.values()) <= 2048 and len(whole) == -(-sum(whole.values()) // 2048)
 
 
+def test_rows_that_share_an_id_go_by_their_own_text(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (5, c), (7, c), (7, c), (None, a)], "doc_id long, text string")
+    kept = corpus_pipeline.jaccard_stage(spark, docs, "")
+    assert sorted(pairs(kept), key=repr) == sorted([(3, a), (5, b), (5, c), (None, a)], key=repr)
+
+
 def test_run_equals_its_stages_and_takes_empty_tables(spark, folder, tmp_path):
     out = corpus_pipeline.run(spark, folder)
     docs = spark.read.parquet(f"{folder}/documents.parquet")

@@ -80,12 +80,14 @@ def loose_spans(text: Column) -> Column:
 
 
 def _with_context(text: Column, found: Column) -> Column:
-    def add(x):
-        lo = F.greatest(x["start"] - 40, F.lit(0))
-        left = F.lower(F.substr(text, (lo + 1).cast("int"), (x["start"] - lo).cast("int")))
-        return F.struct(x["kind"], x["start"], x["end"], x["value"], left.alias("left"), F.substr(text, (x["end"] + 1).cast("int"), F.lit(1)).alias("right"))
+    def every(cut):
+        def add(x):
+            left = F.lower(spans.between(cut, F.greatest(x["start"] - 40, F.lit(0)), x["start"]))
+            return F.struct(x["kind"], x["start"], x["end"], x["value"], left.alias("left"), spans.between(cut, x["end"], x["end"] + 1).alias("right"))
 
-    return F.transform(found, add)
+        return F.transform(found, add)
+
+    return spans.let(F.when(F.size(found) > 0, spans.pieces(text)).otherwise(F.array().cast("array<string>")), every)
 
 
 def _votes() -> dict[str, Column]:
@@ -156,8 +158,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     docs = docs.drop("pii", *[c for c in docs.columns if c.startswith("_ll_")])
     text = F.coalesce("text", F.lit(""))
     staged = docs.withColumn("_ll_row", F.monotonically_increasing_id()).withColumn("_ll_base", base_spans(text)).withColumn("_ll_loose", F.when(text.rlike("[0-9]{2}"), loose_spans(text)).otherwise(F.array().cast(spans.SPAN)))
-    apart = F.filter("_ll_loose", lambda x: ~F.exists("_ll_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    staged = staged.withColumn("_ll_seen", _with_context(text, F.concat("_ll_base", apart))).drop("_ll_loose")
+    apart = spans.apart(F.col("_ll_loose"), F.col("_ll_base"))
+    staged = staged.withColumn("_ll_all", F.concat("_ll_base", apart)).withColumn("_ll_seen", _with_context(text, F.col("_ll_all"))).drop("_ll_loose", "_ll_all")
     staged = materialise(staged, "pii")
     seen = staged.filter(F.size("_ll_seen") > 0).select("_ll_row", F.explode("_ll_seen").alias("x")).select("_ll_row", "x.*")
     votes = _votes()

@@ -1,17 +1,19 @@
 """Secret scanning over an incremental blob ledger.
 
-Every text version is addressed by the SHA-256 of its bytes. The ledger keeps, for each blob, the rules
-(with their versions) it was scanned by and what they found. A scan takes the distinct blobs of its
-input, leaves out the (blob, rule version) pairs that the ledger has, scans the rest once however many
-rows hold the blob, appends them to the ledger, and joins the findings back to every row. Changing a
-rule changes its version, so only that rule runs again over known blobs.
+Every text version is addressed by the SHA-256 of its bytes. The ledger keeps two tables: ``versions``, which blob each
+path had in each delivery, and ``blobs``, what each version of a rule found in each blob. A scan takes the distinct blobs of a
+delivery, leaves out the (blob, rule version) pairs that the ledger has, scans the rest once however many
+rows hold the blob, appends them, and joins the findings back to every row. ``history`` joins them to every path
+and version that was ever delivered. Changing a rule changes its version, so only that rule runs again over known blobs, and
+what its old version found is no longer returned.
 
-All of it is DataFrame functions: no Python runs on the executors.
+All of it is DataFrame functions: no Python runs on the executors. Rows that hold one blob are dealt over ``SALTS`` keys in the
+join back, so a blob that most rows hold is no single task's.
 
 Cases: a null text is the empty blob and has no findings; repeated rows each get their findings; null
 keys are kept; no rows give no rows; the result has the columns of the input plus ``secrets``
 (array of kind, start, end, value by start, then kind), which replaces a column of that name, and
-columns with a leading ``_ll_`` are dropped.
+columns with a leading ``_ll_`` are dropped. Matching and redaction take time linear in a text, matches included.
 """
 
 from __future__ import annotations
@@ -44,16 +46,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{16}", 0, 20),
     Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{24}", 0, 24),
 )
-#: Only the runs that are long enough can pass; the shorter ones never overlap them.
-FAST = {"hex": r"[0-9a-f]{24,}", "access": r"AKIA[A-Z0-9]{16,}"}
+#: The same matches sooner: only the runs that are long enough can pass, and the shorter ones never overlap them; a run that no dot follows is not given back.
+FAST = {"hex": r"[0-9a-f]{24,}", "access": r"AKIA[A-Z0-9]{16,}", "web_token": r"eyJ[A-Za-z0-9_-]{10,200}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}"}
 ADDED = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", r"PRIVATE KEY-----"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", r"eyJ[A-Za-z0-9_-]{10}"),
+    Rule("private_key", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", r"PRIVATE KEY-----"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,200}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", r"eyJ[A-Za-z0-9_-]{10}"),
     Rule("host_token", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})", r"gh[pousr]_|glpat-|xox[abprs]-"),
 )
 RULES = BASE + ADDED
 KINDS = [r.kind for r in RULES]
-LEDGER = f"blob string, rules array<string>, found {spans.SPAN}"
+SALTS = 16
+BLOBS = f"blob string, results array<struct<rule:string,found:{spans.SPAN}>>"
+VERSIONS = "path string, delivery int, blob string"
 
 
 def _scan(text, rule: Rule):
@@ -61,65 +65,97 @@ def _scan(text, rule: Rule):
     return spans.find(text, rule.kind, FAST.get(rule.kind, rule.pattern), rule.hint, keep, rule.group)
 
 
+def _blob(text):
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
 class BlobLedger:
-    """Findings by content address, kept as Parquet below ``path``."""
+    """Versions of paths and findings by content address, kept as Parquet below ``path``."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or shared_dir(spark, "ledger")
 
-    def read(self) -> DataFrame | None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
+    def _read(self, name: str, schema: str) -> DataFrame | None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         there = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
-        return self.spark.read.schema(LEDGER).parquet(self.path) if there else None
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else None
+
+    def _append(self, df: DataFrame, name: str) -> None:
+        df.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{name}")
 
     def unseen(self, docs: DataFrame, rules=RULES) -> DataFrame:
         """(blob, text, rules): each blob that lacks a rule version, with the versions that it lacks."""
         wanted = F.array(*[F.lit(r.version) for r in rules])
-        text = F.coalesce(F.col("text"), F.lit(""))
-        blobs = docs.select(F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
+        blobs = docs.select(_blob(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
         blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-        known = self.read()
+        known = self._read("blobs", BLOBS)
         if known is None:
             return blobs.withColumn("rules", wanted)
-        had = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("had"))
+        had = known.groupBy("blob").agg(F.flatten(F.collect_list(F.transform("results", lambda r: r["rule"]))).alias("had"))  # a name for each scan of one blob
         lacking = F.array_except(wanted, F.coalesce("had", F.array().cast("array<string>")))
         return blobs.join(had, "blob", "left").withColumn("rules", lacking).filter(F.size("rules") > 0).select("blob", "text", "rules")
 
-    def scan(self, docs: DataFrame, rules=RULES) -> DataFrame:
-        """``docs`` with ``secrets``; scans what the ledger lacks and adds it there."""
-        new = self.unseen(docs, rules)
-        fresh = self.read() is None
-        none = F.array().cast(spans.SPAN)
-        text = F.col("text")
-        each = [_scan(text, r) if fresh else F.when(F.array_contains("rules", r.version), _scan(text, r)).otherwise(none) for r in rules]
-        new.select("blob", "rules", F.concat(*each).alias("found")).write.mode("append").option("compression", "zstd").parquet(self.path)
-        kinds = [r.kind for r in rules]
-        found = self.read().filter(F.arrays_overlap("rules", F.array(*[F.lit(r.version) for r in rules])) & (F.size("found") > 0))
-        found = found.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))  # a row for each scan of one blob
-        found = found.select(F.col("blob").alias("_ll_blob"), spans.ordered(F.filter("found", lambda x: x["kind"].isin(kinds)), kinds, True).alias("secrets"))
+    def found(self, rules=RULES) -> DataFrame:
+        """(blob, secrets) of the blobs in which these versions of the rules found something."""
+        versions, kinds = [r.version for r in rules], [r.kind for r in rules]
+        pairs = self._read("blobs", BLOBS).select("blob", F.filter("results", lambda r: r["rule"].isin(versions) & (F.size(r["found"]) > 0)).alias("results"))
+        every = pairs.filter(F.size("results") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("results"))).alias("results"))
+        return every.select("blob", spans.ordered(F.flatten(F.transform("results", lambda r: r["found"])), kinds, True).alias("secrets"))
+
+    def _joined(self, keyed: DataFrame, rules) -> DataFrame:
+        """``keyed`` (with _ll_blob) with its secrets."""
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_ll_salt")
+        found = materialise(self.found(rules).select(F.col("blob").alias("_ll_blob"), "secrets"), "found").select("*", salts)
+        salted = keyed.withColumn("_ll_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        out = salted.join(found, ["_ll_blob", "_ll_salt"], "left").drop("_ll_salt")
+        return out.withColumn("secrets", F.coalesce("secrets", F.array().cast(spans.SPAN)))
+
+    def scan(self, docs: DataFrame, rules=RULES, path: str | None = "doc_id") -> DataFrame:
+        """``docs`` with ``secrets``; scans what the ledger lacks, adds it there, and notes the blob of each ``path``."""
         docs = docs.drop("secrets", *[c for c in docs.columns if c.startswith("_ll_")])
-        keyed = docs.withColumn("_ll_blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-        out = keyed.join(materialise(found, "found"), "_ll_blob", "left").drop("_ll_blob")
-        return out.withColumn("secrets", F.coalesce("secrets", none))
+        new = self.unseen(docs, rules)
+        fresh = self._read("blobs", BLOBS) is None
+        none, text = F.array().cast(spans.SPAN), F.col("text")
+        each = [F.struct(F.lit(r.version).alias("rule"), (_scan(text, r) if fresh else F.when(F.array_contains("rules", r.version), _scan(text, r)).otherwise(none)).alias("found")) for r in rules]
+        self._append(new.select("blob", F.filter(F.array(*each), lambda x: F.array_contains("rules", x["rule"])).alias("results")), "blobs")
+        keyed = docs.withColumn("_ll_blob", _blob(F.col("text")))
+        if path in docs.columns:
+            before = self._read("versions", VERSIONS)
+            last = before.agg(F.max("delivery")).first()[0] if before is not None else None
+            noted = keyed.select(F.col(path).cast("string").alias("path"), F.lit(0 if last is None else last + 1).alias("delivery"), F.col("_ll_blob").alias("blob"))
+            self._append(noted, "versions")
+        return self._joined(keyed, rules).drop("_ll_blob")
+
+    def history(self, rules=RULES) -> DataFrame | None:
+        """(path, delivery, blob, secrets) of every version of every path, by what these rules found in the blobs they have seen."""
+        versions = self._read("versions", VERSIONS)
+        return versions and self._joined(versions.withColumn("_ll_blob", F.col("blob")), rules).drop("_ll_blob")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` of a scan with every found span replaced by [kind]; overlapping spans become one."""
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    return docs.withColumn("text", spans.replaced(F.col("text"), F.col("secrets")))
 
-    def step(s, x):
-        begin = F.greatest(x["start"], s["at"])
-        kept = F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, begin - s["at"]), F.when(x["start"] >= s["at"], F.concat(F.lit("["), x["kind"], F.lit("]"))).otherwise(""))
-        return F.struct(F.greatest(x["end"], s["at"]).alias("at"), kept.alias("out"))
 
-    done = F.aggregate("secrets", state, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return docs.withColumn("text", F.when(F.size("secrets") > 0, done).otherwise(F.col("text")))
+def scan_deliveries(docs: DataFrame, deliveries: int = 2) -> DataFrame:
+    """Scans a whole table with a fresh ledger, fed in ``deliveries`` by ascending doc_id: later ones scan only blobs not seen before."""
+    ledger = BlobLedger(docs.sparkSession)
+    bounds = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    if bounds.lo is None:
+        return ledger.scan(docs)
+    step = (bounds.hi - bounds.lo) // deliveries + 1
+    place = (F.col("doc_id").cast("double") - F.lit(float(bounds.lo))) / F.lit(float(step))  # doubles: no overflow
+    number = F.coalesce(F.least(F.floor(place), F.lit(deliveries - 1)), F.lit(0))
+    out = None
+    for i in range(deliveries):
+        part = ledger.scan(docs.filter(number == i))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = BlobLedger(spark).scan(docs).select("doc_id", "secrets")
+    found = scan_deliveries(docs).select("doc_id", "secrets")
     base = F.filter("secrets", lambda x: x["kind"].isin([r.kind for r in BASE]))
     return found.select(
         "doc_id",

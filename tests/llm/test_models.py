@@ -1,6 +1,7 @@
 """Learned and searching operators: held-out accuracy, recall and brute force."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -133,6 +134,58 @@ def test_url_rules_and_mined_rules(spark):
     assert url_filter.judge(pages.limit(0), mined).collect() == []
 
 
+def brute_rules(urls, least=5, support=0.002, lift=1.5, z=2.0, most=4):
+    """(tokens, confidence) of every rule over (url, bad) by trying all token sets."""
+    cut = re.compile(r"^.*?://([^/?#]*)([^?#]*)(.*)$", re.S)
+
+    def tokens(url):
+        m = cut.match((url or "").lower())
+        return frozenset(k + t for k, part in zip(("h:", "p:", "q:"), m.groups() if m else (), strict=False) for t in re.split(r"[^a-z0-9]+", part) if t and not t.isdigit())
+
+    rows = [(tokens(u), bad) for u, bad in urls if tokens(u)]
+    n, rate = len(rows), sum(b for _, b in rows) / len(rows)
+    seen = collections.Counter(frozenset(c) for own, _ in rows for size in range(1, most + 1) for c in itertools.combinations(sorted(own), size))
+    ill = collections.Counter(frozenset(c) for own, b in rows if b for size in range(1, most + 1) for c in itertools.combinations(sorted(own), size))
+    good = {k: ill[k] / m for k, m in seen.items() if ill[k] >= max(least, support * n) and ill[k] / m >= lift * rate and (ill[k] / m - rate) * m**0.5 >= z * (rate * (1 - rate)) ** 0.5}
+    return [(k, c) for k, c in good.items() if not any(o < k and d >= c for o, d in good.items())], tokens
+
+
+def test_op1_equals_brute_force_mining(spark, tmp_path):
+    rng, rows, labels = random.Random(8), [], []
+    for i in range(700):
+        host, path, query = rng.choice(["a", "b", "c"]), rng.choice(["x", "y", "z"]), rng.choice(["", "?k", "?m"])
+        bad = rng.random() < (0.7 if host == "a" and path == "x" else 0.5 if query == "?k" and host == "b" else 0.1)
+        rows.append((i, None if i == 50 else f"https://{host}.site.org/{path}/{i}{query}"))
+        labels.append((i, None if i == 60 else int(not bad)))
+    rows += [rows[3], (900, "http://a.site.org/x"), (901, "http://www.example.com/de/1"), (902, "no url"), (903, ""), (None, "http://a.other.org/x/")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    known = {i: q == 0 for i, q in labels if q is not None}
+    rules, tokens = brute_rules([(u, known[i]) for i, u in rows[:700] if i in known])
+    assert any(len(r) > 1 for r, _ in rules)
+
+    def verdict(url):
+        fixed = {"http://www.example.com/de/1": "allow"}.get(url)
+        return fixed or ("block" if any(r <= tokens(url) for r, _ in rules) else "allow")
+
+    got = [(r.page_id, r.verdict) for r in url_filter.op1_url_filter(spark, str(tmp_path)).collect()]
+    assert collections.Counter(got) == collections.Counter((i, verdict(u)) for i, u in rows)
+
+
+def test_urls_that_share_many_tokens_and_long_urls(spark):
+    shared = "/".join(f"part{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40))
+    rows = [(i, f"http://{'spam' if i % 3 == 0 else 'fine'}.org/{shared}/{i}") for i in range(200)] + [(500, "http://spam.org/" + "long" * 200_000)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, verdict string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)], "doc_id long, quality int")
+    mined, counts = url_filter.mine(pages, labels)
+    assert [r.tokens for r in mined] == [("h:spam",)]
+    out = url_filter.judge(pages, mined, counts)
+    assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    assert {r.page_id for r in out.filter("verdict = 'block'").collect()} == {i for i in range(200) if i % 3 == 0} | {500}
+    figures = url_filter.held_out(pages, labels)
+    assert figures["precision"] == figures["recall"] == 1.0
+
+
 def vectors(rng, n=400):
     rows, centres = [], [rng.normal(size=16) for _ in range(6)]
     for i in range(n):

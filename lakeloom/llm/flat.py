@@ -142,28 +142,38 @@ PACKED = "part int, owners binary, counts binary, keys binary"
 PACKED_ARROW = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 
 
-def pack(owner: np.ndarray, keys: np.ndarray, partitions: int, by_owner: bool = False) -> pa.RecordBatch:
-    """Packs (owner, key) postings, grouped by owner, into one row for each of ``partitions`` by key or by owner."""
+PAIRED = PACKED + ", others binary"
+
+
+def pack(owner: np.ndarray, keys: np.ndarray, partitions: int, by_owner: bool = False, others: np.ndarray | None = None) -> pa.RecordBatch:
+    """Packs (owner, key) postings, grouped by owner, into one row for each of ``partitions`` by key or by owner.
+
+    ``others``: a second key of each posting, which goes along.
+    """
     part = ((mix(owner.view(U)) if by_owner else keys) % U(partitions)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     part, owner, keys = part[order], owner[order], keys[order]
+    more = [] if others is None else [others[order]]
     starts, lengths = runs(part)
-    out: list[list] = [[], [], [], []]
+    out: list[list] = [[] for _ in range(4 + len(more))]
     for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
         o = owner[s : s + n]
         at, count = runs(o)
         out[0].append(int(part[s]))
         out[1].append(o[at].tobytes())
         out[2].append(count.astype(np.uint32).tobytes())
-        out[3].append(keys[s : s + n].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], schema=PACKED_ARROW)
+        for to, values in zip(out[3:], [keys, *more], strict=True):
+            to.append(values[s : s + n].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=[*PACKED_ARROW.names, "others"][: len(out)])
 
 
-def unpack(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and key of all postings in ``batches``."""
-    owners, keys = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+def unpack(batches: Iterator[pa.RecordBatch], *columns: str) -> tuple[np.ndarray, ...]:
+    """Owner and key of all postings in ``batches``, and what the other ``columns`` of keys hold."""
+    names = ("keys", *columns)
+    owners, keys = [np.zeros(0, np.int64)], [[np.zeros(0, U)] for _ in names]
     for batch in batches:
-        for o, c, k in zip(*(batch.column(name) for name in ("owners", "counts", "keys")), strict=True):
+        for o, c, *values in zip(*(batch.column(name) for name in ("owners", "counts", *names)), strict=True):
             owners.append(np.repeat(np.frombuffer(o.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.uint32)))
-            keys.append(np.frombuffer(k.as_buffer(), U))
-    return np.concatenate(owners), np.concatenate(keys)
+            for to, value in zip(keys, values, strict=True):
+                to.append(np.frombuffer(value.as_buffer(), U))
+    return (np.concatenate(owners), *(np.concatenate(x) for x in keys))

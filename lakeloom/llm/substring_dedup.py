@@ -9,12 +9,16 @@ batches. The index keeps, for all earlier batches, sorted immutable runs of wind
    positions is stored. Runs are split by fingerprint into a fixed number of partitions.
 2. Merge join. The sorted runs and the batch meet partition by partition. A fingerprint found in two
    or more documents makes their windows candidates.
-3. Verification. Candidates are hashed over all 13 words and compared with the same windows of the
-   documents, old or new, that share the fingerprint. The smallest document id of each window decides.
+3. Verification. Candidates are hashed over all 13 words and compared with the windows of the
+   documents, old or new, that share the fingerprint. Windows are one if hash and fingerprint agree (128 bits).
+   The smallest document id of each window decides.
 4. Removal, one pass over the batch's texts.
-5. The batch's fingerprints are appended as a run; more than ``most_runs`` runs are merged into one.
+5. The batch's fingerprints are appended as a run; more than ``most_runs`` runs are merged into one, over more partitions where
+   the index has outgrown them.
 
-Hashes have 64 bits; a window goes only when its fingerprint and its own hash both agree.
+Runs lie in generations of files below one path, and a manifest names those that count: an index can be opened again, and a
+write that failed leaves it as it was. Sorted runs are concatenated and sorted by a stable sort, which finds the runs and
+merges them.
 
 Cases: a null or empty text has no words and passes as an empty text; texts of fewer than 13 words
 keep all words; rows with one doc_id count as one document, so they never remove each other's words;
@@ -25,6 +29,8 @@ with a leading ``_ll_`` are replaced.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +42,9 @@ from .store import materialise, partitions_for, shared_dir
 
 WINDOW = 13
 ANCHOR = 5
+ROW_KEYS = 1 << 20
+PART_KEYS = 4 << 20
+MANIFEST = "made long, partitions long, keys long, runs array<string>"
 _OWN = pa.schema([("doc_id", pa.int64()), ("_ll_keys", pa.binary())])
 
 
@@ -98,8 +107,12 @@ def _window_postings(partitions):
                 hashes, keys, rows, _ = _fingerprints(data, offsets)
                 hit = np.isin(_tag(keys, rows), _given(batch.column("_ll_keys"), first, end))
                 ids, _ = _ids(batch, first, end)
-                rows, hashes = flat.unique_pairs(rows[hit], hashes[hit])
-                yield flat.pack(ids[rows], hashes, partitions)
+                rows, hashes, keys = rows[hit], hashes[hit], keys[hit]
+                order = np.lexsort((keys, hashes, rows))
+                rows, hashes, keys = rows[order], hashes[order], keys[order]
+                new = np.ones(len(rows), bool)
+                new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1])
+                yield flat.pack(ids[rows[new]], hashes[new], partitions, others=keys[new])
 
     return run
 
@@ -133,9 +146,12 @@ def _later(partitions):
     """For each document, its keys that a document with a smaller id has too."""
 
     def run(batches):
-        owners, keys, starts, lengths = _grouped(batches)
-        if len(starts):
-            later = owners > np.repeat(np.minimum.reduceat(owners, starts), lengths)
+        owners, keys, others = flat.unpack(batches, "others")
+        order = np.lexsort((others, keys))
+        owners, keys, others = owners[order], keys[order], others[order]
+        if len(keys):
+            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (others[1:] != others[:-1]))))
+            later = owners > np.repeat(np.minimum.reduceat(owners, starts), np.diff(np.append(starts, len(keys))))
             yield _by_owner(owners[later], keys[later], partitions)
 
     return run
@@ -152,16 +168,24 @@ def _lists(batches):
         yield pa.RecordBatch.from_arrays([pa.array(owners[starts[at : at + 5000]], pa.int64()), pa.array(blobs, pa.binary())], schema=_OWN)
 
 
+def _dealt(partitions):
+    """Packed postings of runs, dealt out anew."""
+
+    def run(batches):
+        for batch in batches:
+            yield flat.pack(*flat.unpack([batch]), partitions)
+
+    return run
+
+
 def _sorted_run(batches):
-    """One packed row, sorted by key, for each partition."""
-    parts, kept = [], []
-    for batch in batches:
-        parts += batch.column("part").to_pylist()
-        kept.append(batch)
-    owners, keys, _, _ = _grouped(kept)
-    if parts:
-        ones = np.ones(len(owners), np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([parts[0]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (owners, ones, keys))], schema=flat.PACKED_ARROW)
+    """Packed rows of at most ``ROW_KEYS`` keys, sorted by key, for the parts of a partition."""
+    rows = [batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)]
+    for part in sorted({row.column("part")[0].as_py() for row in rows}):
+        owners, keys, _, _ = _grouped([row for row in rows if row.column("part")[0].as_py() == part])
+        for at in range(0, len(keys), ROW_KEYS):
+            own = owners[at : at + ROW_KEYS]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (own, np.ones(len(own), np.uint32), keys[at : at + ROW_KEYS]))], schema=flat.PACKED_ARROW)
 
 
 def _removal(columns, schema, untouched):
@@ -203,33 +227,54 @@ def _removal(columns, schema, untouched):
 
 
 class SubstringIndex:
-    """Sorted runs of window fingerprints below one path, and the rule by which they are used."""
+    """Sorted runs of window fingerprints below one path, and the rule by which they are used. One writer at a time.
+
+    ``partitions`` counts for a new index only; later it grows with the index, so that a part has about ``PART_KEYS`` keys at most.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, partitions: int = 64, most_runs: int = 4):
-        self.spark, self.path, self.partitions, self.most_runs = spark, path or shared_dir(spark, "runs"), partitions, most_runs
-        self.runs: list[str] = []
-        self._made = 0
+        self.spark, self.path, self.most_runs = spark, path or shared_dir(spark, "runs"), most_runs
+        known = self._manifest()
+        self.partitions, self.keys, self.made, self.runs = (known.partitions, known.keys, known.made, list(known.runs)) if known else (partitions, 0, 0, [])
+
+    def _manifest(self):
+        """The manifest with the highest number that was written in full."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return None
+        return self.spark.read.schema(MANIFEST).json(where.toString()).orderBy(F.desc("made")).first()
 
     def _read(self, names):
         return self.spark.read.schema(flat.PACKED).parquet(*[f"{self.path}/{name}" for name in names])
 
     def _append(self, postings: DataFrame) -> None:
-        def write(source):
-            self._made += 1
-            name = f"run-{self._made:05d}"
-            source.repartitionById(self.partitions, F.col("part")).mapInArrow(_sorted_run, flat.PACKED).write.parquet(f"{self.path}/{name}")
+        def write(source, partitions):
+            self.made += 1
+            name = f"run-{self.made:05d}-{uuid.uuid4().hex[:8]}"
+            source.repartitionById(partitions, F.col("part")).mapInArrow(_sorted_run, flat.PACKED).write.parquet(f"{self.path}/{name}")
             return name
 
-        self.runs.append(write(postings))
-        if len(self.runs) > self.most_runs:
-            self.runs = [write(self._read(self.runs))]
+        runs, partitions = [*self.runs, write(postings, self.partitions)], self.partitions
+        keys = self.keys + (self._read(runs[-1:]).agg(F.sum(F.length("keys"))).first()[0] or 0) // 8
+        if len(runs) > self.most_runs:
+            source = self._read(runs)
+            if keys > PART_KEYS * partitions:
+                partitions = 2 * keys // PART_KEYS
+                source = source.mapInArrow(_dealt(partitions), flat.PACKED)
+            runs = [write(source, partitions)]
+        manifest = self.spark.createDataFrame([(self.made, partitions, keys, runs)], MANIFEST)
+        manifest.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        self.runs, self.partitions, self.keys = runs, partitions, keys
 
     def dedup(self, docs: DataFrame, history: DataFrame | None = None, keep_run: bool = True, untouched: bool = False) -> DataFrame:
         """``docs`` with the repeated words cut from ``text``, plus n_words and n_removed.
 
-        ``history``: the documents of earlier batches, whose runs this index holds. ``untouched``: a text that
+        ``history``: the documents of earlier batches, whose runs this index holds; without them nothing could be
+        verified, so an index with runs asks for them. ``untouched``: a text that
         loses nothing stays as it is, white space included; else all kept words are joined by one space.
         """
+        if self.runs and history is None:
+            raise ValueError("the index holds runs of earlier documents: give them as history")
         n = self.partitions
         docs = docs.drop("n_words", "n_removed", *[c for c in docs.columns if c.startswith("_ll_")])
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -241,8 +286,8 @@ class SubstringIndex:
             found = source.repartitionById(n, F.col("part")).mapInArrow(rule(n), flat.PACKED)
             return found.repartitionById(n, F.col("part")).mapInArrow(_lists, "doc_id long, _ll_keys binary")
 
-        asked = texts.union(history.select(F.col("doc_id").cast("long"), "text")) if self.runs and history is not None else texts
-        windows = asked.join(met(known, _shared), "doc_id").mapInArrow(_window_postings(n), flat.PACKED)
+        asked = texts.union(history.select(F.col("doc_id").cast("long"), "text")) if self.runs else texts
+        windows = asked.join(met(known, _shared), "doc_id").mapInArrow(_window_postings(n), flat.PAIRED)
         later = materialise(met(windows, _later), "later").withColumnRenamed("doc_id", "_ll_id")
         joined = docs.join(later, F.col("doc_id").cast("long") == F.col("_ll_id"), "left").drop("_ll_id")
         columns = [*docs.columns, "n_words", "n_removed"]

@@ -141,7 +141,7 @@ def test_substring_dedup(spark, batches):
         parts += [rng.choice(passages) for _ in range(rng.randint(0, 3))]
         rng.shuffle(parts)
         rows.append((i * 3, rng.choice([" ", "\n", "  "]).join(parts)))
-    rows += [(5, None), (8, ""), (11, "a b c"), (14, " ".join(["x"] * 40)), (17, " ".join(["x"] * 20)), (20, "é " * 13), (23, "é " * 14)]
+    rows += [(5, None), (8, ""), (11, "a b c"), (14, " ".join(["x"] * 40)), (17, " ".join(["x"] * 20)), (20, "é " * 13), (23, "é " * 14), (26, " ".join(f"v{k}" for k in range(60_000))), (29, " ".join(f"v{k}" for k in range(100, 59_000)))]
     docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_words int")
     out = substring_dedup.dedup_substrings(docs, batches=batches).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in out), key=repr) == cut(rows)
@@ -161,6 +161,25 @@ def test_substring_index_compacts_and_takes_empty_batches(spark):
     assert len(index.runs) == 1
 
 
+def test_substring_index_is_opened_again_and_grows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PART_KEYS", 40)
+    rng, path = random.Random(9), f"{tmp_path}/index"
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" if i % 3 else f"w{k}" for k in range(i % 40))) for i in range(120)]
+    seen, got = None, []
+    for at in range(0, 120, 40):
+        index = substring_dedup.SubstringIndex(spark, path, partitions=2, most_runs=1)
+        batch = spark.createDataFrame(rows[at : at + 40], "doc_id long, text string")
+        if seen is not None:
+            assert index.runs
+            with pytest.raises(ValueError, match="history"):
+                index.dedup(batch)
+        got += [(r.doc_id, r.n_words, r.n_removed, r.text) for r in index.dedup(batch, seen).collect()]
+        seen = batch if seen is None else seen.union(batch)
+    assert sorted(got, key=repr) == cut(rows)
+    opened = substring_dedup.SubstringIndex(spark, path)
+    assert len(opened.runs) == 1 and opened.partitions > 2 and opened.keys == index.keys > 0
+
+
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 

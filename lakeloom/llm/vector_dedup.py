@@ -2,10 +2,11 @@
 
 Vectors are compared only under one label. Equal vectors are first folded into one. Each label is split into
 shards of about ``SHARD_ROWS`` vectors; each shard gets a graph, and every vector of the label queries
-every shard of it, in blocks. A query widens its beam while the beam is full of vectors in range. After that, a
-sample of each shard is compared with all of it; while the audited recall is below ``RECALL``, the whole
-shard is queried again with beams twice as wide. Pairs from the graphs are verified by cosine in
-double precision. A task hands on link counts and a spanning forest of its links, never all pairs, and
+every shard of it. Graphs and blocks of queries meet in tiles of ``TILE`` by ``TILE`` shards, so a label's
+graphs are copied once for each column of tiles, not for each block. A query widens its beam while the beam is full of vectors in range. After that,
+for each graph, ``AUDIT`` queries of every block of the tile and as many that found links are compared with all of the shard; while
+the recall of their links (a vector itself is none) is below ``RECALL``, all are queried again with beams twice as wide. Pairs
+from the graphs are verified by cosine in double precision. A task hands on link counts and a spanning forest of its links, never all pairs, and
 components are joined from the forests.
 
 Cases: vectors that are null or empty, zero, or hold null, NaN or infinite components, and those with a null label
@@ -20,6 +21,7 @@ import io
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ DEGREE = 16
 BUILD_BEAM = 64
 QUERY_BEAM = 64
 BATCH = 256
+TILE = 4
+SALTS = 8
 
 
 def _top(sims, ids, k):
@@ -220,12 +224,12 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     x = _matrix(pdf["embedding"])
     graph = Graph(_unit(x).astype(np.float32))
     blob = _blob(x=x, rid=pdf["rid"].to_numpy(), weight=pdf["weight"].to_numpy(), start=np.array(graph.start), **{f"links{i}": t for i, t in enumerate(graph.links)})
-    return pd.DataFrame({"label": [pdf["label"].iloc[0]], "size": [pdf["size"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "graph": [blob]})
+    return pd.DataFrame({"label": [pdf["label"].iloc[0]], "size": [pdf["size"].iloc[0]], "shards": [pdf["shards"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "graph": [blob]})
 
 
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     blob = _blob(x=_matrix(pdf["embedding"]), rid=pdf["rid"].to_numpy())
-    return pd.DataFrame({"label": [pdf["label"].iloc[0]], "size": [pdf["size"].iloc[0]], "block": [pdf["shard"].iloc[0]], "queries": [blob]})
+    return pd.DataFrame({"label": [pdf["label"].iloc[0]], "size": [pdf["size"].iloc[0]], "shards": [pdf["shards"].iloc[0]], "block": [pdf["shard"].iloc[0]], "queries": [blob]})
 
 
 def _forest(a, b):
@@ -246,67 +250,125 @@ def _forest(a, b):
         root = new
 
 
-def _search(least: float, recall: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, q = (np.load(io.BytesIO(pdf[c].iloc[0])) for c in ("graph", "queries"))
+_MET = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("truth", pa.int64()), ("seen", pa.int64())])
+
+
+class _Blocks:
+    """The query blocks of a tile, which meet its graphs one by one."""
+
+    def __init__(self):
+        self.x, self.rid = [], []
+
+    def add(self, blob):
+        q = np.load(io.BytesIO(blob))
+        self.x.append(_unit(q["x"]))
+        self.rid.append(q["rid"])
+
+    def meet(self, blob, least: float, recall: float) -> pa.RecordBatch:
+        g = np.load(io.BytesIO(blob))
         x, rid, weight = g["x"], g["rid"], g["weight"]
         unit = _unit(x)
         graph = Graph(unit.astype(np.float32), [g[f"links{i}"] for i in range(sum(k.startswith("links") for k in g.files))])
         graph.start = int(g["start"])
-        queries, own = _unit(q["x"]), q["rid"]
-        slack, beam = least - 1e-5, QUERY_BEAM
-        audit = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
-        true = queries[audit] @ unit.T >= least
+        queries, own = np.concatenate(self.x), np.concatenate(self.rid)
+        start = np.cumsum([0, *(len(r) for r in self.rid)])
+        fixed = np.concatenate([lo + np.linspace(0, hi - lo - 1, min(AUDIT, hi - lo)).astype(int) for lo, hi in zip(start[:-1], start[1:], strict=True)])
+        slack, beam, audit = least - 1e-5, QUERY_BEAM, None
         while True:
             a, v = graph.within(queries.astype(np.float32), slack, beam)
-            seen = np.zeros(true.shape, bool)
-            place = np.full(len(queries), -1)
+            if audit is None:  # fixed places of every block, and as many queries that found a link
+                linked = np.unique(a[own[a] != rid[v]])
+                audit = np.union1d(fixed, linked[np.linspace(0, len(linked) - 1, min(len(fixed), len(linked))).astype(int)])
+                true = np.concatenate([queries[audit[at : at + 512]] @ unit.T >= least for at in range(0, len(audit), 512)])
+                true &= own[audit][:, None] != rid[None, :]  # a vector that meets itself shows nothing
+            seen, place = np.zeros(true.shape, bool), np.full(len(queries), -1)
             place[audit] = np.arange(len(audit))
             mine = place[a] >= 0
             seen[place[a[mine]], v[mine]] = True
-            if (seen & true).sum() >= recall * true.sum() or beam >= len(x):
+            truth, got = int(true.sum()), int((seen & true).sum())
+            if got >= recall * truth or beam >= len(x):
                 break
             beam *= 2
         exact = np.concatenate([np.einsum("kd,kd->k", queries[a[s : s + 65536]], unit[v[s : s + 65536]]) for s in range(0, len(a), 65536)] or [np.zeros(0)])
         ok = (exact >= least) & (own[a] != rid[v])
         a, v = a[ok], v[ok]
         count = np.bincount(a, weight[v], len(own)).astype(np.int64)
-        rows = [pd.DataFrame({"rid": own, "n": count, "root": -1})]
-        if len(a):
-            node, root = _forest(own[a], rid[v])
-            rows.append(pd.DataFrame({"rid": node, "n": 0, "root": root}))
-        return pd.concat(rows)
+        some = np.flatnonzero(count)
+        node, root = _forest(own[a], rid[v]) if len(a) else (own[:0], own[:0])
+        rows = [np.concatenate(x) for x in zip((own[some], count[some], np.full(len(some), -1)), (node, np.zeros(len(node), np.int64), root), strict=True)]
+        none = np.zeros(len(rows[0]), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.append(x, last), pa.int64()) for x, last in zip((*rows, none, none), (-1, 0, -1, truth, got), strict=True)], schema=_MET)
+
+
+def _search(least: float, recall: float):
+    """Rows come tile by tile, in each first the blocks, then the graphs."""
+
+    def run(batches):
+        tile, blocks = None, None
+        for batch in batches:
+            names = [batch.column(c) for c in ("label", "size", "rows", "columns")]
+            for i in range(batch.num_rows):
+                key = tuple(c[i].as_py() for c in names)
+                if key != tile:
+                    tile, blocks = key, _Blocks()
+                if batch.column("queries")[i].is_valid:
+                    blocks.add(batch.column("queries")[i].as_buffer())
+                else:
+                    yield blocks.meet(batch.column("graph")[i].as_buffer(), least, recall)
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST, recall: float = RECALL, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").alias("label"))
+def _same_zero(embedding, kind):
+    return F.transform(embedding, lambda v: F.when(v == 0, F.lit(0).cast(kind)).otherwise(v))
+
+
+def near_duplicates(vectors: DataFrame, least: float = LEAST, recall: float = RECALL, shard_rows: int = SHARD_ROWS, report: dict | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
+
+    ``report`` takes the audit: links that brute force finds for the audited queries, and how many of them the graphs found.
+    """
+    inner = vectors.schema["embedding"].dataType.elementType
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _same_zero("embedding", inner).alias("embedding"), F.col("label").alias("label"))
     finite = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    folded = rows.filter(good).groupBy("label", "embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"))
+    # two hashes stand for a vector in the join back, which so moves ids and no vectors
+    keyed = rows.withColumns({"k1": F.xxhash64("label", "embedding"), "k2": F.xxhash64(F.lit(1), "embedding", "label")})
+    folded = keyed.filter(good).groupBy("label", "embedding", "k1", "k2").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"))
     folded = materialise(folded.withColumn("size", F.size("embedding")).withColumn("rid", F.monotonically_increasing_id()), "vectors")
-    shards = folded.groupBy("label", "size").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
-    dealt = folded.join(materialise(shards, "shards"), ["label", "size"]).withColumn("shard", F.pmod(F.xxhash64("rid"), F.col("shards")).cast("long")).drop("shards")
-    dealt = materialise(dealt, "dealt")
+    shards = folded.groupBy("label", "size").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("shards"))
+    kinds = folded.join(materialise(shards, "shards"), ["label", "size"])
+    dealt = materialise(kinds.withColumn("shard", F.pmod(F.xxhash64("rid"), F.col("shards")).cast("long")).select("label", "size", "shards", "shard", "rid", "weight", "embedding"), "dealt")
     # A shard is much work on few bytes: explicit partition counts keep AQE from putting shards together.
     groups = ["label", "size", "shard"]
-    tasks = 4 * dealt.select(*groups).distinct().count()
-    dealt = dealt.repartition(min(max(tasks, 8), 100_000), *groups)
-    kind = f"label {folded.schema['label'].dataType.simpleString()}, size int"
+    number = dealt.select(*groups).distinct().count()
+    dealt = dealt.repartition(min(max(4 * number, 8), 100_000), *groups)
+    kind = f"label {folded.schema['label'].dataType.simpleString()}, size int, shards long"
     graphs = materialise(dealt.groupBy(*groups).applyInPandas(_build, f"{kind}, shard long, graph binary"), "graphs")
     blocks = materialise(dealt.groupBy(*groups).applyInPandas(_block, f"{kind}, block long, queries binary"), "blocks")
-    met = graphs.join(blocks, ["label", "size"]).repartition(min(max(tasks, 8), 100_000), *groups, "block").groupBy(*groups, "block").applyInPandas(_search(least, recall), "rid long, n long, root long")
+    # Tiles of TILE graphs and as many blocks: each graph and block is copied once for each tile in its row or column of tiles.
+    tiles = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("shards") - 1) / TILE)))
+    none = F.lit(None).cast("binary")
+    asked = blocks.select("label", "size", F.floor(F.col("block") / TILE).alias("columns"), F.lit(0).alias("turn"), "queries", none.alias("graph"), tiles.alias("rows"))
+    held = graphs.select("label", "size", tiles.alias("columns"), F.lit(1).alias("turn"), none.alias("queries"), "graph", F.floor(F.col("shard") / TILE).alias("rows"))
+    tile = ["label", "size", "rows", "columns"]
+    both = asked.unionByName(held)
+    many = asked.select(*tile).distinct().count()
+    met = both.repartition(min(max(4 * many, 8), 100_000), *tile).sortWithinPartitions(*tile, "turn").mapInArrow(_search(least, recall), "rid long, n long, root long, truth long, seen long")
     met = materialise(met, "met")
-    counts = met.groupBy("rid").agg(F.sum("n").alias("n"))
+    if report is not None:
+        audit = met.agg(F.sum("truth").alias("truth"), F.sum("seen").alias("seen")).first()
+        report.update(truth=audit.truth or 0, seen=audit.seen or 0, recall=(audit.seen or 0) / (audit.truth or 1))
+    counts = met.filter("rid >= 0").groupBy("rid").agg(F.sum("n").alias("n"))
     edges = met.filter("root >= 0 and root <> rid").select(F.col("rid").alias("a"), F.col("root").alias("b"))
     roots = components(edges).toDF("rid", "component")
-    named = folded.join(counts, "rid").join(roots, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    named = materialise(named.select("rid", "label", "embedding", "weight", "first", "n", "component"), "named")
+    named = folded.drop("embedding").join(counts, "rid", "left").join(roots, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    named = materialise(named.select("k1", "k2", "weight", "first", F.coalesce("n", F.lit(0)).alias("n"), "component"), "named")
     least_id = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least_id, "component").select("label", "embedding", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id")
-    out = rows.filter(good).join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    named = named.join(least_id, "component").select("k1", "k2", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id", salts)
+    salted = keyed.filter(good).select("vec_id", "k1", "k2", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))  # equal vectors are no single task's
+    out = salted.join(named, ["k1", "k2", "salt"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -192,7 +192,7 @@ def vectors(rng, n=400):
         v = centres[i % 6] + rng.normal(size=16) * rng.choice([0.02, 0.05, 1.0])
         rows.append((i, [float(x) for x in v.astype(np.float32)], int(i % 3)))
     rows += [(n + i, rows[i][1], rows[i][2]) for i in range(20)]
-    rows += [(900, None, 1), (901, [], 1), (902, [0.0] * 16, 1), (903, [float("nan")] * 16, 1), (904, [None] * 16, 1), (905, rows[0][1], None), (906, [1.0, 2.0], 0), (907, [2.0, 4.0], 0)]
+    rows += [(900, None, 1), (901, [], 1), (902, [0.0] * 16, 1), (903, [float("nan")] * 16, 1), (904, [None] * 16, 1), (905, rows[0][1], None), (906, [1.0, 2.0], 0), (907, [2.0, 4.0], 0), (908, [0.0, 3.0], 0), (909, [-0.0, 3.0], 0)]
     return rows
 
 
@@ -219,7 +219,9 @@ def linked(rows, least=0.98):
 def test_vector_links_equal_brute_force(spark, shard_rows):
     rows = vectors(np.random.default_rng(5))
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    out = vector_dedup.near_duplicates(frame, shard_rows=shard_rows).collect()
+    report: dict = {}
+    out = vector_dedup.near_duplicates(frame.selectExpr("*", "1 as k1", "2 as n_links"), shard_rows=shard_rows, report=report).collect()
+    assert report["truth"] > 100 and report["recall"] >= 0.99
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out)
     wanted = linked([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], k) for i, v, k in rows])
     assert sum(g == w for g, w in zip(got, wanted, strict=True)) >= 0.99 * len(wanted)

@@ -45,6 +45,7 @@ BROADCAST_ROWS = 1_000_000
 STARS = 8
 BLOCK = 256
 ROWS_PER_PART = 100_000
+SALTS = 8
 _PACKED = pa.schema([("part", pa.int32()), ("owners", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 _PACKED_DDL = "part int, owners binary, sizes binary, counts binary, keys binary"
 
@@ -202,7 +203,7 @@ def _set_blobs(size):
 
 
 def _verify(percent):
-    """Of candidate pairs, those whose whole sets reach the threshold, after the filters of orders 2 and 3."""
+    """Of candidate pairs, those whose whole sets reach the threshold."""
 
     def meet(a, b):
         return len(np.intersect1d(a, b, assume_unique=True))
@@ -212,8 +213,6 @@ def _verify(percent):
             sets = {s: batch.column(s) for s in ("tokens_a", "tokens_b")}
             hit = []
             for i in range(batch.num_rows):
-                if any(not len(np.intersect1d(batch.column(f"{p}_a")[i].values.to_numpy(), batch.column(f"{p}_b")[i].values.to_numpy())) for p in ("p2", "p3")):
-                    continue
                 x, y = (np.frombuffer(c[i].as_buffer(), flat.U) for c in sets.values())
                 both = meet(x, y)
                 if 100 * both >= percent * (len(x) + len(y) - both):
@@ -284,6 +283,8 @@ class _Join:
         self.docs, self.size, self.percent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size, percent
         n = partitions_for(docs, 24)
         self.labels = materialise(self.docs.mapInArrow(_label(size), "doc_id long, n_shingles long, class long"), "labels")
+        # copies of one text are one row from here on: minima are taken before rows are dealt by class
+        self.classes = materialise(self.labels.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc")), "classes")
         shared = self.docs.select("text").mapInArrow(_postings(size, n), _PACKED_DDL).repartitionById(n, F.col("part")).mapInArrow(_shared(n), _PACKED_DDL)
         prefixes = shared.repartitionById(n, F.col("part")).mapInArrow(_prefixes(percent), "class long, n int, p1 array<long>, p2 array<long>, p3 array<long>")
         self.prefixes = materialise(prefixes, "prefixes")
@@ -296,8 +297,7 @@ class _Join:
     def _sets(self) -> DataFrame:
         """Whole sets of the classes with a prefix, from one text of each."""
         few = self.prefixes.select("class")
-        reps = self.labels.join(few, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-        reps = materialise(reps.filter("doc_id is not null"), "reps")
+        reps = materialise(self.classes.join(few, "class").filter("doc is not null").select("class", F.col("doc").alias("doc_id")), "reps")
         wanted = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
         texts = self.docs.join(wanted, "doc_id").mapInArrow(_set_blobs(self.size), "class long, tokens binary")
         once = texts.dropDuplicates(["class"]) if self.repeated_ids() else texts
@@ -308,10 +308,18 @@ class _Join:
         return counts.n > counts.d
 
     def compare(self, pairs: DataFrame) -> None:
-        """Adds the links among ``pairs`` (a, b) and joins the components anew."""
-        left = self.sets.select(F.col("class").alias("a"), F.col("tokens").alias("tokens_a"), F.col("p2").alias("p2_a"), F.col("p3").alias("p3_a"))
-        right = self.sets.select(F.col("class").alias("b"), F.col("tokens").alias("tokens_b"), F.col("p2").alias("p2_b"), F.col("p3").alias("p3_b"))
-        self.join_links(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(self.percent), "a long, b long"))
+        """Adds the links among ``pairs`` (a, b), which share a prefix token under order 1, and joins the components anew.
+
+        The filters of orders 2 and 3 are intersected on the prefixes alone; whole sets move only for pairs that pass all three.
+        """
+
+        def met(side, *columns):
+            return self.sets.select(F.col("class").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+
+        orders = pairs.join(met("a", "p2", "p3"), "a").join(met("b", "p2", "p3"), "b")
+        passed = orders.filter(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b")
+        passed = materialise(passed, "passed", self.parts)
+        self.join_links(passed.join(met("a", "tokens"), "a").join(met("b", "tokens"), "b").mapInArrow(_verify(self.percent), "a long, b long"))
 
     def join_links(self, found: DataFrame) -> None:
         new = materialise(found, "links", self.parts)
@@ -378,13 +386,14 @@ class _Join:
 
     def result(self) -> DataFrame:
         known = self.found.select(F.col("node").alias("class"), "component")
-        classes = self.labels.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc"))
-        classes = classes.join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        classes = materialise(classes, "classes")
+        classes = self.classes.join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        classes = materialise(classes, "placed")
         least = classes.groupBy("component").agg(F.min("doc").alias("component_id"))
         classes = materialise(classes.join(least, "component").select("class", "component_id"), "named")
         empty = self.labels.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-        return self.labels.filter("n_shingles > 0").join(classes, "class").select("doc_id", "n_shingles", "component_id").union(empty)
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        salted = self.labels.filter("n_shingles > 0").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))  # copies of one text are no single task's
+        return salted.join(classes.select("*", salts), ["class", "salt"]).select("doc_id", "n_shingles", "component_id").union(empty)
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

@@ -52,6 +52,8 @@ def corpus(rng):
     rows += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randint(0, 60))) for _ in range(30)]
     rows += ["", None, " \t\n", "one", "ONE", "one two three four", "a b c d e", "A B C D E", "É é"]
     rows += [rows[0]] * 5
+    long = [f"l{i}" for i in range(30_000)]
+    rows += [" ".join(long), " ".join(long[:-900]), " ".join(long[::2])]
     rng.shuffle(rows)
     return list(enumerate(rows, 100))
 

@@ -148,9 +148,9 @@ PAIRED = PACKED + ", others binary"
 def pack(owner: np.ndarray, keys: np.ndarray, partitions: int, by_owner: bool = False, others: np.ndarray | None = None) -> pa.RecordBatch:
     """Packs (owner, key) postings, grouped by owner, into one row for each of ``partitions`` by key or by owner.
 
-    ``others``: a second key of each posting, which goes along.
+    ``others``: a second key of each posting, which goes along and by which rows are dealt.
     """
-    part = ((mix(owner.view(U)) if by_owner else keys) % U(partitions)).astype(np.int32)
+    part = ((mix(owner.view(U)) if by_owner else keys if others is None else others) % U(partitions)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     part, owner, keys = part[order], owner[order], keys[order]
     more = [] if others is None else [others[order]]

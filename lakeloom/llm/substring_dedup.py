@@ -108,7 +108,7 @@ def _window_postings(partitions):
                 hit = np.isin(_tag(keys, rows), _given(batch.column("_ll_keys"), first, end))
                 ids, _ = _ids(batch, first, end)
                 rows, hashes, keys = rows[hit], hashes[hit], keys[hit]
-                order = np.lexsort((keys, hashes, rows))
+                order = np.lexsort((hashes, keys, rows))
                 rows, hashes, keys = rows[order], hashes[order], keys[order]
                 new = np.ones(len(rows), bool)
                 new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1]) | (keys[1:] != keys[:-1])
@@ -247,21 +247,22 @@ class SubstringIndex:
     def _read(self, names):
         return self.spark.read.schema(flat.PACKED).parquet(*[f"{self.path}/{name}" for name in names])
 
-    def _append(self, postings: DataFrame) -> None:
-        def write(source, partitions):
-            self.made += 1
-            name = f"run-{self.made:05d}-{uuid.uuid4().hex[:8]}"
-            source.repartitionById(partitions, F.col("part")).mapInArrow(_sorted_run, flat.PACKED).write.parquet(f"{self.path}/{name}")
-            return name
+    def _write(self, postings: DataFrame, partitions: int) -> str:
+        """A sorted run, which counts once ``_commit`` has named it."""
+        self.made += 1
+        name = f"run-{self.made:05d}-{uuid.uuid4().hex[:8]}"
+        postings.repartitionById(partitions, F.col("part")).mapInArrow(_sorted_run, flat.PACKED).write.parquet(f"{self.path}/{name}")
+        return name
 
-        runs, partitions = [*self.runs, write(postings, self.partitions)], self.partitions
-        keys = self.keys + (self._read(runs[-1:]).agg(F.sum(F.length("keys"))).first()[0] or 0) // 8
+    def _commit(self, name: str) -> None:
+        runs, partitions = [*self.runs, name], self.partitions
+        keys = self.keys + (self._read([name]).agg(F.sum(F.length("keys"))).first()[0] or 0) // 8
         if len(runs) > self.most_runs:
             source = self._read(runs)
             if keys > PART_KEYS * partitions:
                 partitions = 2 * keys // PART_KEYS
                 source = source.mapInArrow(_dealt(partitions), flat.PACKED)
-            runs = [write(source, partitions)]
+            runs = [self._write(source, partitions)]
         manifest = self.spark.createDataFrame([(self.made, partitions, keys, runs)], MANIFEST)
         manifest.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
         self.runs, self.partitions, self.keys = runs, partitions, keys
@@ -278,8 +279,10 @@ class SubstringIndex:
         n = self.partitions
         docs = docs.drop("n_words", "n_removed", *[c for c in docs.columns if c.startswith("_ll_")])
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        postings = materialise(texts.mapInArrow(_anchor_postings(n), flat.PACKED), "anchors")
-        known = postings.union(self._read(self.runs)) if self.runs else postings
+        postings = texts.mapInArrow(_anchor_postings(n), flat.PACKED)
+        run = self._write(postings, n) if keep_run else None
+        fresh = self._read([run]) if run else postings
+        known = fresh.union(self._read(self.runs)) if self.runs else fresh
 
         def met(source, rule):
             """Postings dealt out by key, judged, dealt out by document and listed."""
@@ -294,8 +297,8 @@ class SubstringIndex:
         schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
         arrow = pa.schema([("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
         out = joined.mapInArrow(_removal(columns, arrow, untouched), schema)
-        if keep_run:
-            self._append(postings)
+        if run:
+            self._commit(run)
         return out
 
 

@@ -44,6 +44,7 @@ WINDOW = 13
 ANCHOR = 5
 ROW_KEYS = 1 << 20
 PART_KEYS = 4 << 20
+MARKS = 1 << 24
 MANIFEST = "made long, partitions long, keys long, runs array<string>"
 _OWN = pa.schema([("doc_id", pa.int64()), ("_ll_keys", pa.binary())])
 
@@ -226,6 +227,19 @@ def _removal(columns, schema, untouched):
     return run
 
 
+def _marked(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """``docs`` with _ll_mark: false only for ids that are not in ``listed``. The bitmap that says so has ``MARKS`` bits, whatever the data."""
+
+    def bit(column):
+        return F.pmod(F.xxhash64(column.cast("long")), F.lit(MARKS))
+
+    marks = listed.select(bit(F.col("_ll_id")).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_ll_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_ll_bits"))
+    place = F.bitmap_bit_position(bit(F.col("doc_id")))
+    keyed = docs.withColumn("_ll_bucket", F.bitmap_bucket_number(bit(F.col("doc_id")))).join(F.broadcast(marks), "_ll_bucket", "left")
+    byte = F.conv(F.hex(F.substr(F.col("_ll_bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return keyed.withColumn("_ll_mark", F.coalesce(F.bit_get(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("_ll_bucket", "_ll_bits")
+
+
 class SubstringIndex:
     """Sorted runs of window fingerprints below one path, and the rule by which they are used. One writer at a time.
 
@@ -292,7 +306,10 @@ class SubstringIndex:
         asked = texts.union(history.select(F.col("doc_id").cast("long"), "text")) if self.runs else texts
         windows = asked.join(met(known, _shared), "doc_id").mapInArrow(_window_postings(n), flat.PAIRED)
         later = materialise(met(windows, _later), "later").withColumnRenamed("doc_id", "_ll_id")
-        joined = docs.join(later, F.col("doc_id").cast("long") == F.col("_ll_id"), "left").drop("_ll_id")
+        marked = _marked(docs, later)
+        listed = marked.filter("_ll_mark").drop("_ll_mark").join(later, F.col("doc_id").cast("long") == F.col("_ll_id"), "left").drop("_ll_id")
+        others = marked.filter("not _ll_mark").drop("_ll_mark").withColumn("_ll_keys", F.lit(None).cast("binary"))  # their texts are not moved
+        joined = listed.unionByName(others)
         columns = [*docs.columns, "n_words", "n_removed"]
         schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
         arrow = pa.schema([("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])

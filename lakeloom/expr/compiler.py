@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -29,7 +31,11 @@ class _WindowContext:
         return self.compiler.step(column)
 
     def over(self, aggregate: Column, *more: Column) -> Column:
-        return aggregate.over(W.partitionBy(*self.parts, *more))
+        """An aggregate over the rows of one partition, for which their order is nothing."""
+        return self.compiler.group((*self.parts, *more), aggregate)
+
+    def quantile(self, x: Column, p: float) -> Column:
+        return self.compiler.group(tuple(self.parts), x, p)
 
     def position(self) -> Column:
         """A row's place in the active order."""
@@ -49,25 +55,100 @@ class _WindowContext:
         return function.over(W.partitionBy(*self.parts, *parts).orderBy(order))
 
 
+class _Built:
+    """Equal for columns that are built alike, types of literals included."""
+
+    def __init__(self, column: Column):
+        self.node = column._jc.node().normalized()
+
+    def __hash__(self):
+        return self.node.hashCode()
+
+    def __eq__(self, other):
+        return isinstance(other, _Built) and self.node.equals(other.node)
+
+
+@dataclass(frozen=True)
+class _Step:
+    """A column below an expression; with ``parts``, an aggregate (or the ``share`` quantile of a column) by these, joined back."""
+
+    name: str
+    column: Column
+    parts: tuple[Column, ...] | None = None
+    share: float | None = None
+
+    def needs(self) -> set[str]:
+        text = " ".join(c._jc.toString() for c in (self.column, *(self.parts or ())))
+        return set(re.findall(r"_lk_(?:\d+|row)\b", text)) - {self.name}
+
+
+def _with_groups(df: DataFrame, steps: list[_Step]) -> DataFrame:
+    """Adds aggregates by their partitions: one aggregation for all of one partitioning, with partial sums before the shuffle, and one join."""
+    by_parts: dict[tuple[_Built, ...], list[_Step]] = {}
+    for step in steps:
+        by_parts.setdefault(tuple(_Built(p) for p in step.parts), []).append(step)
+    for members in by_parts.values():
+        keys = [f"_lk_key_{i}" for i in range(len(members[0].parts))]
+        aggregates, shares = {}, {}
+        for step in members:
+            if step.share is None:
+                aggregates[step.name] = step.column.alias(step.name)
+            else:
+                shares.setdefault(_Built(step.column), []).append(step)
+        picks = {}
+        for i, asked in enumerate(shares.values()):  # all quantiles of one column come from one pass
+            every = sorted({s.share for s in asked})
+            aggregates[f"_lk_q{i}"] = F.percentile(asked[0].column, F.array(*[F.lit(p) for p in every])).alias(f"_lk_q{i}")
+            picks |= {s.name: F.get(F.col(f"_lk_q{i}"), F.lit(every.index(s.share))) for s in asked}
+        grouped = df.groupBy(*[p.alias(k) for p, k in zip(members[0].parts, keys, strict=True)]).agg(*aggregates.values())
+        grouped = grouped.withColumns(picks).drop(*[n for n in aggregates if n.startswith("_lk_q")]) if picks else grouped
+        test = None
+        for part, key in zip(members[0].parts, keys, strict=True):
+            same = part.eqNullSafe(F.col(key))
+            test = same if test is None else test & same
+        df = df.join(grouped, test, "left").drop(*keys) if keys else df.join(F.broadcast(grouped))  # without partitions: one row
+    return df
+
+
+def _with_steps(df: DataFrame, steps: Sequence[_Step]) -> DataFrame:
+    """Adds steps layer by layer: each reads the input and steps of earlier layers."""
+    todo, names = list(steps), {s.name for s in steps}
+    while todo:
+        names = {s.name for s in todo}
+        layer = [s for s in todo if not s.needs() & names]
+        if not layer:
+            raise ExpressionError("steps depend on each other")
+        plain = {s.name: s.column for s in layer if s.parts is None}
+        df = df.withColumns(plain) if plain else df
+        df = _with_groups(df, [s for s in layer if s.parts is not None])
+        todo = [s for s in todo if s not in layer]
+    return df
+
+
 class Compiler:
     """Compiles expressions over one frame. ``order``: columns that give its rows a total order; by default Spark's row ids."""
 
     def __init__(self, df: DataFrame, order: Sequence[str] = ()):
         self.df, self.order = df, list(order)
         self.kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
-        self.steps: list[tuple[str, Column]] = []
+        self.steps: dict[tuple, _Step] = {}
+
+    def _add(self, key: tuple, column: Column, parts=None, share=None, name: str | None = None) -> Column:
+        if key not in self.steps:
+            self.steps[key] = _Step(name or f"_lk_{len(self.steps)}", column, parts, share)
+        return F.col(self.steps[key].name)
 
     def step(self, column: Column) -> Column:
-        """Adds a column below the expression and returns a reference to it."""
-        name = f"_lk_{len(self.steps)}"
-        self.steps.append((name, column))
-        return F.col(name)
+        """Adds a column below the expression, once for all that are built alike, and returns a reference to it."""
+        return self._add((_Built(column),), column)
+
+    def group(self, parts: tuple[Column, ...], column: Column, share: float | None = None) -> Column:
+        """Adds an aggregate by ``parts``, or the ``share`` quantile of ``column`` there, and returns a reference to it."""
+        return self._add((_Built(column), share, *map(_Built, parts)), column, parts, share)
 
     def active_order(self) -> list[Column]:
         if not self.order:
-            if not any(n == "_lk_row" for n, _ in self.steps):
-                self.steps.insert(0, ("_lk_row", F.monotonically_increasing_id()))
-            return [F.col("_lk_row")]
+            return [self._add(("row",), F.monotonically_increasing_id(), name="_lk_row")]
         return [F.col(f"`{c}`") for c in self.order]
 
     def compile(self, node: p.Node) -> Value:
@@ -89,6 +170,8 @@ class Compiler:
     def _unary(self, node):
         value = self.compile(node.operand)
         if node.operator == "not":
+            if value.kind not in ("bool", "null"):
+                raise ExpressionError("not takes a truth value; it binds before comparisons, so put those in parentheses")
             return Value(~value.col, "bool")
         if value.kind not in ("int", "float", "decimal", "null"):
             raise ExpressionError(f"unary {node.operator} takes a number")
@@ -223,9 +306,7 @@ def add_expressions(df: DataFrame, expressions: dict[str, str], order: Sequence[
     for layer in layers(trees):
         compiler = Compiler(df, order)
         made = {name: compiler.compile(trees[name]).col for name in layer}
-        for name, column in compiler.steps:
-            df = df.withColumn(name, column)
-        df = df.withColumns(made).drop(*[name for name, _ in compiler.steps])
+        df = _with_steps(df, compiler.steps.values()).withColumns(made).drop(*[s.name for s in compiler.steps.values()])
     return df
 
 
@@ -234,6 +315,4 @@ def condition(df: DataFrame, text: str, order: Sequence[str] = ()) -> DataFrame:
     compiler = Compiler(df, order)
     test = compiler.compile(p.parse(text)).col
     names = df.columns
-    for name, column in compiler.steps:
-        df = df.withColumn(name, column)
-    return df.filter(test).select(*[f"`{n}`" for n in names])
+    return _with_steps(df, compiler.steps.values()).filter(test).select(*[f"`{n}`" for n in names])

@@ -173,8 +173,15 @@ def base64decode(s):
 
 for _name, _f in {"acos": F.acos, "asin": F.asin, "atan": F.atan, "cos": F.cos, "sin": F.sin, "tan": F.tan, "exp": F.exp, "sqrt": F.sqrt, "abs": F.abs}.items():
     SCALARS[_name] = (1, 1, lambda x, f=_f: _float(f(real(x))))
+
+
+def _integral(f, x: Column) -> Column:
+    """``f`` (to a 64 bit integer) of a double; beyond 2^53 a double has no fraction, and NaN and infinity stay."""
+    return F.when(F.abs(x) < float(1 << 53), f(x).cast("double")).otherwise(x)
+
+
 for _name, _f in {"ceiling": F.ceil, "floor": F.floor}.items():
-    SCALARS[_name] = (1, 1, lambda x, f=_f: _float(f(real(x)).cast("double")))
+    SCALARS[_name] = (1, 1, lambda x, f=_f: _float(_integral(f, real(x))))
 
 
 def _log(f):
@@ -208,7 +215,7 @@ def mod(a, b):
 def round_(x, n=None):
     scale = F.pow(F.lit(10.0), real(n)) if n else F.lit(1.0)
     x = real(x)
-    return _float(F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale)
+    return _float(F.when(F.abs(x) * scale < float(1 << 53), F.signum(x) * _integral(F.floor, F.abs(x) * scale + 0.5) / scale).otherwise(x))
 
 
 @scalar(0)
@@ -373,7 +380,10 @@ for _name, _size in {"days": UNIT["day"], "hours": UNIT["hour"], "minutes": UNIT
 
 @scalar(5)
 def timespan(d, h, m, s, ms):
-    total = whole(d) * UNIT["day"] + whole(h) * UNIT["hour"] + whole(m) * UNIT["minute"] + whole(s) * UNIT["second"] + whole(ms) * UNIT["millisecond"]
+    """Null beyond 64 bits of microseconds."""
+    total = F.lit(0).cast("long")
+    for value, unit in ((d, "day"), (h, "hour"), (m, "minute"), (s, "second"), (ms, "millisecond")):
+        total = F.try_add(total, F.try_multiply(whole(value), F.lit(UNIT[unit])))
     return Value(_interval(total), "duration")
 
 

@@ -1,7 +1,8 @@
 """Partition window functions.
 
 A function may need columns of its own first (a mean before the deviations from it): it asks the
-compiler for them with ``step``, and the compiler adds them to the frame one layer below.
+compiler for them with ``step``, and the compiler adds them to the frame one layer below. Statistics for which the order of
+rows is nothing (``over``, ``quantile``) become one aggregation by the partition, joined back; the others are windows.
 """
 
 from __future__ import annotations
@@ -14,12 +15,8 @@ NUMERIC: dict[str, object] = {}
 ROLLING = {"rollingavg": F.avg, "rollingmean": F.avg, "rollingsum": F.sum, "rollingmin": F.min, "rollingmax": F.max}
 
 
-def _quantile(x, p):
-    return F.percentile(x, F.lit(float(p)))
-
-
 def _fence(c, x, side: int, width: float):
-    q1, q3 = c.step(c.over(_quantile(x, 0.25))), c.step(c.over(_quantile(x, 0.75)))
+    q1, q3 = c.step(c.quantile(x, 0.25)), c.step(c.quantile(x, 0.75))
     return q1 - width * (q3 - q1) if side < 0 else q3 + width * (q3 - q1)
 
 
@@ -42,12 +39,12 @@ def _mean_deviation(c, x):
 
 
 def _median_deviation(c, x):
-    return c.over(_quantile(F.abs(x - c.step(c.over(_quantile(x, 0.5)))), 0.5))
+    return c.quantile(c.step(F.abs(x - c.step(c.quantile(x, 0.5)))), 0.5)
 
 
 def _trimmed(c, x, percent):
-    low = c.step(c.over(_quantile(x, percent / 200)))
-    high = c.step(c.over(_quantile(x, 1 - percent / 200)))
+    low = c.step(c.quantile(x, percent / 200))
+    high = c.step(c.quantile(x, 1 - percent / 200))
     return c.over(F.avg(F.when((x >= low) & (x <= high), x)))
 
 
@@ -59,12 +56,12 @@ NUMERIC |= {
     "mean": lambda c, x: c.over(F.avg(x)),
     "min": lambda c, x: c.over(F.min(x)),
     "max": lambda c, x: c.over(F.max(x)),
-    "median": lambda c, x: c.over(_quantile(x, 0.5)),
-    "p10": lambda c, x: c.over(_quantile(x, 0.1)),
-    "p90": lambda c, x: c.over(_quantile(x, 0.9)),
-    "q1": lambda c, x: c.over(_quantile(x, 0.25)),
-    "q3": lambda c, x: c.over(_quantile(x, 0.75)),
-    "iqr": lambda c, x: c.over(_quantile(x, 0.75)) - c.over(_quantile(x, 0.25)),
+    "median": lambda c, x: c.quantile(x, 0.5),
+    "p10": lambda c, x: c.quantile(x, 0.1),
+    "p90": lambda c, x: c.quantile(x, 0.9),
+    "q1": lambda c, x: c.quantile(x, 0.25),
+    "q3": lambda c, x: c.quantile(x, 0.75),
+    "iqr": lambda c, x: c.quantile(x, 0.75) - c.quantile(x, 0.25),
     "var": lambda c, x: c.over(F.var_samp(x)),
     "variance": lambda c, x: c.over(F.var_samp(x)),
     "stddev": lambda c, x: c.over(F.stddev_samp(x)),
@@ -103,7 +100,7 @@ def evaluate(c, name: str, args: list[Value]) -> Value | None:
         return Value(NUMERIC[name](c, c.step(args[0].col.cast("double"))), "float")
     if name == "percentile":
         p = float(_literal(args[1], "a percentile"))
-        return Value(c.over(_quantile(args[0].col.cast("double"), p / 100)) if 0 <= p <= 100 else F.lit(None).cast("double"), "float")
+        return Value(c.quantile(args[0].col.cast("double"), p / 100) if 0 <= p <= 100 else F.lit(None).cast("double"), "float")
     if name == "trimmedmean":
         return Value(_trimmed(c, c.step(args[0].col.cast("double")), float(_literal(args[1], "the share"))), "float")
     if name in ("nthlargest", "nthsmallest"):

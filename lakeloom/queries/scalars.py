@@ -15,7 +15,7 @@ calculated(
 )
 calculated(
     "calc_logic", "lineitem", ["l_orderkey", "l_linenumber"],
-    {"both": "[l_quantity] > 20 and [l_discount] < 0.05", "either": "[l_returnflag] = 'R' or not [l_tax] <= 0.04", "differs": "[l_linestatus] <> 'O'", "has": "[l_returnflag] ~= 'R'", "joined": "[l_returnflag] & '-' & [l_linestatus]", "unknown": "null = 1 or [l_quantity] > 10"},
+    {"both": "[l_quantity] > 20 and [l_discount] < 0.05", "either": "[l_returnflag] = 'R' or not ([l_tax] <= 0.04)", "differs": "[l_linestatus] <> 'O'", "has": "[l_returnflag] ~= 'R'", "joined": "[l_returnflag] & '-' & [l_linestatus]", "unknown": "null = 1 or [l_quantity] > 10"},
     """SELECT l_orderkey, l_linenumber, l_quantity > 20 AND l_discount < 0.05 AS "both", l_returnflag = 'R' OR NOT l_tax <= 0.04 AS either, l_linestatus <> 'O' AS differs,
     contains(l_returnflag, 'R') AS has, l_returnflag || '-' || l_linestatus AS joined, CASE WHEN l_quantity > 10 THEN true END AS unknown FROM lineitem""",
 )
@@ -105,3 +105,14 @@ calculated(
     {"ok": "RandBetween(3, 9, 42) >= 3 and RandBetween(3, 9, 42) <= 9", "same": "Rand(7) = Rand(7)", "unit": "Rand(7) >= 0 and Rand(7) < 1", "none": "RandBetween(9, 3, 1)"},
     """SELECT n_nationkey, true AS ok, true AS same, true AS unit, NULL::BIGINT AS "none" FROM nation""", ["n_nationkey"],
 )
+calculated(
+    "calc_bare_names", "orders", ["o_orderkey"],
+    {"twice": "o_totalprice * 2", "whole": "Sum(o_totalprice) OVER (PARTITION BY o_custkey)", "n": "RowNumber() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST)", "text": "Cast(o_custkey as varchar)", "big": "Cast('12' as bigint)", "real": "Cast('1.5' as double)", "at": "Cast('2024-01-02 03:04:05' as timestamp)", "flag": "not (o_custkey = 1) = false"},
+    """SELECT o_orderkey, round(o_totalprice * 2, 6) AS twice, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS whole, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS n,
+    o_custkey::VARCHAR AS text, 12::BIGINT AS big, 1.5::DOUBLE AS "real", TIMESTAMP '2024-01-02 03:04:05' AS at, o_custkey = 1 AS flag FROM orders""", ["o_orderkey"],
+)
+calculated(
+    "math_large", "nation", ["n_nationkey"],
+    {"up": "Ceiling([n_nationkey] * 1e20)", "down": "Floor(-1e20)", "near": "Round(1e20)", "cents": "Round(123456789012.345, 2)", "far": "TotalDays(TimeSpan(9000000000000, 0, 0, 0, 0))", "day": "TotalDays(TimeSpan([n_nationkey], 0, 0, 0, 0))"},
+    "SELECT n_nationkey, n_nationkey * 1e20 AS up, -1e20 AS down, 1e20 AS near, 123456789012.35::DOUBLE AS cents, NULL::DOUBLE AS far, n_nationkey::DOUBLE AS day FROM nation", exact=True,
+)

@@ -30,7 +30,7 @@ def values(df, text, order=("id",)):
         ("1 + 2 * 3 - -1", [8, 8, 8]),
         ("'it''s' & \"\"", ["it's"] * 3),
         ("[s] & 'z'", ["abc-1z", " x z", None]),
-        ("not [x] > 0 or null", [None, None, True]),
+        ("not ([x] > 0) or null", [None, None, True]),
         ("[s] ~= '%'", [False, False, None]),
         ("Mod([x], 0) = Mod(0, 0)", [True, None, True]),
         ("Trim([s])", ["abc-1", "x", None]),
@@ -122,3 +122,28 @@ def test_random_numbers_do_not_depend_on_partitions(frame):
     text = {"r": "RandBetween(1, 1000, 5)"}
     a, b = (sorted((r.id, r.r) for r in add_expressions(df, text, ["id"]).collect()) for df in (frame, frame.repartition(3)))
     assert a == b
+
+
+def test_names_casts_and_windows_without_brackets(frame):
+    assert values(frame, "x * 2") == values(frame, "[x] * 2")
+    assert values(frame, "Sum(n) OVER (PARTITION BY g)") == [4.0, 4.0, None]
+    assert parse("not a = b") == parse("(not [a]) = [b]")
+    assert values(frame, "Cast(n as bigint)") == [4, 0, None] and values(frame, "Cast('x' as double)") == [None] * 3
+    for wrong in ("Sum(n) OVER (g n)", "RowNumber() OVER (ORDER BY n NULLS foo)", "Sum(n) OVER (PARTITION BY)", "and", "1 over", "double(n)"):
+        with pytest.raises(ExpressionError):
+            values(frame, wrong)
+    with pytest.raises(ExpressionError, match="parentheses"):
+        values(frame, "not [x] > 0")
+
+
+def test_numbers_beyond_64_bits(frame):
+    assert values(frame, "Floor([x] * 1e20)") == [1.5e20, None, -2e20]
+    assert all(math.isnan(v) for v in values(frame, "Ceiling(Mod(1, 0))")) and all(math.isnan(v) for v in values(frame, "Round(Mod(1, 0))"))
+    assert values(frame, "Round(1e20)") == [1e20] * 3 and values(frame, "Ceiling(1e300)") == [1e300] * 3
+    assert values(frame, "TotalDays(TimeSpan(9000000000000, 0, 0, 0, 0))") == [None] * 3
+
+
+def test_statistics_are_one_aggregation(frame):
+    out = add_expressions(frame, {"a": "Median([x]) OVER ([g])", "b": "Q1([x]) OVER ([g])", "c": "LIF([x]) OVER ([g])", "d": "Sum([x]) OVER ([g])", "e": "IQR([x]) OVER ([g])"})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan.count("percentile(") == 1 and "Window" not in plan

@@ -1,12 +1,13 @@
-"""Command line: run, validate, chain, compare, inspect, capabilities."""
+"""Command line: run, validate, explain, chain, schedule, publish, compare, inspect, capabilities."""
 
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import json
 import sys
 
-from . import compare, plans
+from . import compare, plans, publish
 from .plans import chain
 
 
@@ -20,7 +21,15 @@ def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lakeloom", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("run", "validate", "explain"):
-        commands.add_parser(name).add_argument("definition")
+        command = commands.add_parser(name)
+        command.add_argument("definition")
+        if name == "run":
+            command.add_argument("--smoke", type=int, help="write so many rows at most")
+    commands.add_parser("schedule", help="names that are due").add_argument("jobs", help="JSON or YAML: jobs by name, and state (last times)")
+    out = commands.add_parser("publish")
+    out.add_argument("root")
+    out.add_argument("target")
+    out.add_argument("--expected")
     commands.add_parser("chain").add_argument("definitions", help="JSON or YAML of name: definition")
     both = commands.add_parser("compare")
     both.add_argument("left")
@@ -37,7 +46,14 @@ def main(args: list[str] | None = None) -> int:
         print(json.dumps(problems))
         return int(bool(problems))
     elif asked.command == "run":
-        print(json.dumps(plans.run(session(), asked.definition)))
+        print(json.dumps(plans.run(session(), asked.definition, smoke=asked.smoke)))
+    elif asked.command == "schedule":
+        document = plans.load(asked.jobs)
+        state = {name: dt.datetime.fromisoformat(str(at)) for name, at in document.get("state", {}).items()}
+        due = chain.tick(document["jobs"], state, dt.datetime.now())
+        print(json.dumps({"due": [[name, at.isoformat()] for name, at in due], "state": {name: at.isoformat() for name, at in state.items()}}))
+    elif asked.command == "publish":
+        print(json.dumps(publish.publish(session(), asked.root, asked.target, asked.expected)))
     elif asked.command == "explain":
         plans.plan(session(), asked.definition).explain("formatted")
     elif asked.command == "chain":

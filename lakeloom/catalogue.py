@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import QUERIES, operators, scalars, windows  # noqa: F401  the modules register themselves
+from .queries import QUERIES, datasets, operators, scalars, windows  # noqa: F401  the modules register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

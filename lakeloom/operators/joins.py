@@ -72,7 +72,8 @@ def enrich(df: DataFrame, lookup: DataFrame, keys: Sequence[str] | Mapping[str,
     right = list(pairs.values())
     whole = lookup.na.drop(subset=right)
     once = whole.groupBy(*right).agg(F.count("*").alias("_lk_n"), *[F.first(f"`{c}`").alias(c) for c in columns])
-    checked = once.select(*right, *[F.when(F.col("_lk_n") == 1, F.col(f"`{c}`")).otherwise(F.raise_error(F.lit("lookup key is not unique"))).alias(c) for c in columns])
+    # the check sits on a key, which the join always reads, whatever columns are read after it
+    checked = once.withColumn(right[0], F.when(F.col("_lk_n") == 1, F.col(f"`{right[0]}`")).otherwise(F.raise_error(F.lit("lookup key is not unique")))).select(*[f"`{c}`" for c in (*right, *columns)])
     return join(df, checked, pairs, "left", suffix="_lookup")
 
 

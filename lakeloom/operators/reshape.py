@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ NULL_LABEL = "__null__"
 AGGREGATES = ("first", "count", "sum", "avg", "mean", "min", "max", "unique_concatenate")
 
 
-def _aggregate(name: str, column: Column, order: Column) -> Column:
+def _aggregate(name: str, column: Column, order: Column, text: bool = False) -> Column:
     if name not in AGGREGATES:
         raise ValueError(f"unknown aggregate {name!r}")
     if name == "first":
@@ -25,6 +26,10 @@ def _aggregate(name: str, column: Column, order: Column) -> Column:
         return F.sum(column.cast("double"))
     if name in ("avg", "mean"):
         return F.avg(column.cast("double"))
+    if name in ("min", "max") and text:  # numbers in text compare as numbers where a cell holds nothing else; of equal ones the first stays
+        number = column.try_cast("double")
+        place = F.when(number.isNotNull(), F.struct((number if name == "min" else -number).alias("n"), order.alias("o")))
+        return F.when(F.count(column) == F.count(number), F.min_by(column, place)).otherwise((F.min if name == "min" else F.max)(column))
     if name in ("min", "max"):
         return (F.min if name == "min" else F.max)(column)
     seen = F.collect_list(F.when(column.isNotNull(), F.struct(order.alias("o"), column.cast("string").alias("v"))))
@@ -49,8 +54,10 @@ def pivot(
 
     Column names follow ``name``: parts joined by ``separator``. Unless given, the column values are found in one pass and
     come in order of first appearance under ``order``. Counts of missing cells are 0. ``null_key``: ``label`` or ``error``.
-    ``duplicates`` ``error`` refuses a cell of a ``first`` value with several rows.
+    ``duplicates``: ``error`` refuses a cell of a ``first`` value with several rows, ``warn`` warns of how many there are (one more pass).
     """
+    if duplicates not in ("allow", "warn", "error"):
+        raise ValueError(f"duplicates are allow, warn or error, not {duplicates!r}")
     at = F.struct(*[F.col(f"`{c}`") for c in order])
     text = [F.col(f"`{k}`").cast("string") for k in column_keys]
     if null_key == "error":
@@ -61,6 +68,10 @@ def pivot(
         if len(found) > most_columns:
             raise ValueError(f"pivot would make more than {most_columns} columns")
         column_values = [r._lk_key for r in found]
+    if duplicates == "warn" and any(v["agg"] == "first" for v in values):
+        twice = df.groupBy(*row_keys, "_lk_key").count().filter("count > 1").count()
+        if twice:
+            warnings.warn(f"{twice} pivot cells have several rows; the first is taken", stacklevel=2)
     aggs, names = [], []
     for key in column_values:
         here = F.col("_lk_key") == key
@@ -71,14 +82,14 @@ def pivot(
                 if duplicates == "error":
                     made = F.when(F.count(F.when(here, 1)) > 1, F.raise_error(F.lit(f"duplicate cell in pivot column {key}"))).otherwise(made)
             else:
-                made = _aggregate(value["agg"], F.when(here, column), at)
+                made = _aggregate(value["agg"], F.when(here, column), at, isinstance(df.schema[value["name"]].dataType, T.StringType))
             if value.get("dtype"):
                 made = made.cast(spark_type(value["dtype"]))
             parts = {"<column_key_value>": key, "<value_key_name>": value["name"], "<agg>": value["agg"]}
             names.append(separator.join(parts.get(p, p) for p in name))
             aggs.append(made.alias(names[-1]))
     for value in plain:
-        made = _aggregate(value["agg"], F.col(f"`{value['name']}`"), at)
+        made = _aggregate(value["agg"], F.col(f"`{value['name']}`"), at, isinstance(df.schema[value["name"]].dataType, T.StringType))
         names.append(value.get("as", value["name"]))
         aggs.append((made.cast(spark_type(value["dtype"])) if value.get("dtype") else made).alias(names[-1]))
     if len(set(names)) < len(names) or set(names) & set(row_keys):

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import quality, sinks
 from ..expr.parser import ExpressionError, parse
-from ..operators import joins, project, reshape, rows
-from ..sources import files
+from ..operators import facts, joins, project, reshape, rows
+from ..sources import files, http, windows
 
 
 class DefinitionError(ValueError):
@@ -36,7 +36,7 @@ def _join(df, p, frames):
 
 
 def _assert(df, p, frames):
-    return df  # checked over the written data, before it is committed
+    return df  # a run checks the rules at their place, see ``run``
 
 
 #: name: (needed parameters, function of frame, parameters and all frames)
@@ -62,6 +62,10 @@ OPERATIONS = {
     "enrich": (("lookup", "keys", "columns"), lambda df, p, f: joins.enrich(df, f[p["lookup"]], p["keys"], p["columns"])),
     "union_rows": (("members", "identity"), lambda df, p, f: joins.union_rows({m: f[m] for m in p["members"]}, p["identity"])),
     "define_keyspace": (("members", "keys"), lambda df, p, f: joins.keyspace([f[m] for m in p["members"]], p["keys"], p.get("nulls", "error"))),
+    "column_alias": (("names", "registry"), lambda df, p, f: project.rename_columns(df, {c: n for n, c in project.resolve_aliases(p["names"], df.columns, p["registry"]).items() if c != n})),
+    "calculated_fact": (("expressions",), lambda df, p, f: facts.calculated_fact(df, p["expressions"], {a: {"frame": f[x["lookup"]], "keys": x["keys"]} for a, x in p.get("lookups", {}).items()}, p.get("aliases", {}), p.get("order", ()))),
+    "multi_join": (("joins",), lambda df, p, f: joins.multi_join(df, [j | {"right": f[j["right"]]} for j in p["joins"]])),
+    "preview": ((), lambda df, p, f: rows.preview(df, p.get("rows", 20))),
     "data_assertion": (("rules",), _assert),
 }
 
@@ -82,7 +86,7 @@ def load(source: str | Mapping) -> dict:
 def _texts(step: Mapping):
     if step["op"] == "filter" and "expression" in step:
         yield step["expression"]
-    if step["op"] == "add_calc":
+    if step["op"] in ("add_calc", "calculated_fact"):
         yield from step.get("expressions", {}).values()
 
 
@@ -103,6 +107,7 @@ def validate(document: Mapping) -> list[tuple[str, str, str]]:
         if step["op"] == "filter" and sum(k in step for k in ("sql", "expression", "thin")) != 1:
             out.append(("E_PARAMETER", where, "a filter has one of sql, expression and thin"))
         names = [step[k] for k in ("input", "right", "lookup", "parents") if k in step] + list(step.get("members", ()))
+        names += [x.get("lookup") for x in step.get("lookups", {}).values()] + [x.get("right") for x in step.get("joins", ())]
         out += [("E_REFERENCE", where, f"unknown frame {n!r}") for n in names if n not in known]
         for text in _texts(step):
             try:
@@ -120,6 +125,10 @@ def validate(document: Mapping) -> list[tuple[str, str, str]]:
 def read_source(spark: SparkSession, source: Mapping, outputs: Mapping[str, str]) -> DataFrame:
     if "csv" in source:
         return files.read_csv(spark, **source["csv"])
+    if "windows" in source:
+        return windows.read_windows(spark, source["windows"])
+    if "http" in source:
+        return http.read_source(spark, source["http"])
     if "sql" in source:
         return spark.sql(source["sql"], args=source.get("parameters", {}))
     paths = source.get("paths") or files.resolve(spark, source, outputs)
@@ -128,29 +137,47 @@ def read_source(spark: SparkSession, source: Mapping, outputs: Mapping[str, str]
     return files.read_parquet_union(spark, paths)
 
 
+def _frames(spark: SparkSession, document: Mapping, outputs, frames) -> tuple[DataFrame, list[tuple[DataFrame, list]]]:
+    """The result, and each assertion's frame and rules."""
+    known = {name: (frames or {}).get(name) or read_source(spark, s, outputs or {}) for name, s in document["sources"].items()}
+    df, asserted = next(iter(known.values())), []
+    for step in document.get("steps", []):
+        before = known[step["input"]] if "input" in step else df
+        df = OPERATIONS[step["op"]][1](before, step, known)
+        if step["op"] == "data_assertion":
+            asserted.append((df, list(step["rules"])))
+        if "as" in step:
+            known[step["as"]] = df
+    return df, asserted
+
+
 def plan(spark: SparkSession, document: str | Mapping, outputs: Mapping[str, str] | None = None, frames: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """The definition as one lazy DataFrame. ``frames`` stand in for sources of the same name."""
     document = load(document)
     if problems := validate(document):
         raise DefinitionError(problems)
-    known = {name: (frames or {}).get(name) or read_source(spark, s, outputs or {}) for name, s in document["sources"].items()}
-    df = next(iter(known.values()))
-    for step in document.get("steps", []):
-        df = OPERATIONS[step["op"]][1](known[step["input"]] if "input" in step else df, step, known)
-        if "as" in step:
-            known[step["as"]] = df
-    return df
+    return _frames(spark, document, outputs, frames)[0]
 
 
-def run(spark: SparkSession, document: str | Mapping, outputs: Mapping[str, str] | None = None) -> dict:
-    """Plans, checks the assertions, and commits; an assertion that fails leaves the old dataset."""
+def run(spark: SparkSession, document: str | Mapping, outputs: Mapping[str, str] | None = None, smoke: int | None = None) -> dict:
+    """Plans, checks the assertions, and commits; an assertion that fails leaves the old dataset. ``smoke``: a trial run that writes so many rows at most.
+
+    Rules see the rows at their step. Those of the result itself are checked on the staged files, so the plan runs once and what
+    is checked is what is committed; those of an earlier step are checked on its frame before anything is written.
+    """
     document = load(document)
-    df = plan(spark, document, outputs)
-    output = document["output"]
-    rules = [r for step in document.get("steps", []) if step["op"] == "data_assertion" for r in step["rules"]]
-    if rules:
-        quality.check(df, rules)
-    return sinks.commit(df, output["path"], output.get("partition"), output.get("rows_per_file", 0), output.get("order", ()))
+    if problems := validate(document):
+        raise DefinitionError(problems)
+    df, asserted = _frames(spark, document, outputs, None)
+    output, last = document["output"], []
+    for frame, rules in asserted:
+        if frame is df:
+            last += rules
+        else:
+            quality.check(frame, rules)
+    check = (lambda staged: quality.check(staged, last)) if last else None
+    df = df.limit(smoke) if smoke is not None else df
+    return sinks.commit(df, output["path"], output.get("partition"), output.get("rows_per_file", 0), output.get("order", ()), check)
 
 
 def capabilities() -> dict:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .sinks import _write_text, read_manifest
 from .sources.files import hadoop
 
-POINTER = "current.json"
+POINTERS = "pointers"
 
 
 def _read(spark: SparkSession, path: str) -> dict | None:
@@ -27,11 +27,14 @@ def _read(spark: SparkSession, path: str) -> dict | None:
 
 
 def publish(spark: SparkSession, root: str, target: str, expected: str | None = None) -> dict:
-    """Copies the dataset's generation below ``target`` and moves the pointer; if the pointer isn't at ``expected`` (when given), nothing is published."""
+    """Copies the dataset's generation below ``target`` and moves the pointer.
+
+    If the pointer isn't at ``expected`` (when given), or another publisher moves it meanwhile, the pointer stays and an error is raised.
+    """
     manifest = read_manifest(spark, root)
     if manifest is None:
         raise ValueError(f"{root} has no committed dataset")
-    now = current(spark, target)
+    number, now = _pointer(spark, target)
     if expected is not None and now != expected:
         raise ValueError(f"{target} is at {now}, not {expected}")
     generation = manifest["generation"]
@@ -44,17 +47,36 @@ def publish(spark: SparkSession, root: str, target: str, expected: str | None =
         spark._jvm.org.apache.hadoop.fs.FileUtil.copy(source_fs, source, part_fs, part_path, False, spark._jsc.hadoopConfiguration())
         fs.mkdirs(where.getParent())
         fs.rename(part_path, where)
-    _write_text(spark, f"{target}/.{POINTER}", json.dumps({"generation": generation, "previous": now}))
-    fs, new = hadoop(spark, f"{target}/.{POINTER}")
-    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{POINTER}")
-    fs.delete(pointer, False)
-    fs.rename(new, pointer)
+    # pointers are numbered and never overwritten: of two publishers that saw the same one, one creates the next
+    fs, pointer = hadoop(spark, f"{target}/{POINTERS}/{number + 1:012d}.json")
+    fs.mkdirs(pointer.getParent())
+    try:
+        out = fs.create(pointer, False)
+    except Exception as error:
+        if fs.exists(pointer):
+            raise ValueError(f"{target} was published to meanwhile") from error
+        raise
+    out.write(bytearray(json.dumps({"generation": generation, "previous": now}).encode()))
+    out.close()
     return {"generation": generation, "previous": now}
 
 
+def _pointer(spark: SparkSession, target: str) -> tuple[int, str | None]:
+    """Number and generation of the newest pointer that is written in full."""
+    fs, where = hadoop(spark, f"{target}/{POINTERS}")
+    names = sorted((s.getPath().getName() for s in fs.listStatus(where)), reverse=True) if fs.exists(where) else []
+    for name in names:
+        try:
+            found = _read(spark, f"{target}/{POINTERS}/{name}")
+        except ValueError:
+            continue
+        if found:
+            return int(name.split(".")[0]), found["generation"]
+    return 0, None
+
+
 def current(spark: SparkSession, target: str) -> str | None:
-    found = _read(spark, f"{target}/{POINTER}") or _read(spark, f"{target}/.{POINTER}")
-    return found["generation"] if found else None
+    return _pointer(spark, target)[1]
 
 
 def read(spark: SparkSession, target: str, generation: str | None = None) -> DataFrame:

@@ -76,6 +76,8 @@ def evaluate(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
 def check(df: DataFrame, rules: Sequence[Mapping], samples: int = 20) -> None:
     """Raises with rule, kind, count and up to ``samples`` broken rows."""
     failures = []
+    if not rules:
+        return
     for r in evaluate(df, rules).filter("failed > 0").collect():
         rule = next(x for i, x in enumerate(rules) if x.get("id", f"rule_{i}") == r.rule_id)
         rows = [row.asDict() for row in df.filter(_condition(rule)).limit(samples).collect()] if r.kind in ROW_RULES else []

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +42,23 @@ def read_manifest(spark: SparkSession, root: str) -> dict | None:
         stream.close()
 
 
-def _parts(spark: SparkSession, root: str) -> dict[str, dict]:
-    """Size and content hash of each part, hashed on the executors."""
+def _parts(spark: SparkSession, root: str, schema: T.StructType) -> dict[str, dict]:
+    """Rows, size and a hash of the rows (in any order) of each part, counted on the executors as column batches: no part is held whole."""
     files = discover(spark, [root])
     if not files:
         return {}
     fs, where = hadoop(spark, root)
     base = fs.resolvePath(where).toString().rstrip("/") + "/"
-    found = spark.read.format("binaryFile").load(files).select("path", "length", F.sha2("content", 256).alias("sha256")).collect()  # a row for each part
-    return {r.path.removeprefix(base): {"bytes": r.length, "sha256": r.sha256} for r in found}
+    df = spark.read.schema(schema).parquet(*files)
+    values = [F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in schema.fields]
+    one, two = F.xxhash64(F.lit(0), *values), F.xxhash64(F.lit(1), *values)
+    by = df.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+    found = by.agg(F.count("*").alias("n"), F.sum(one.cast("decimal(38,0)")).alias("a"), F.bit_xor(two).alias("b")).collect()  # a row for each part
+    parts = {name.removeprefix(base): {"bytes": None, "rows": 0, "content": "0"} for name in files}
+    for r in found:
+        name = r.path if r.path.removeprefix(base) in parts else unquote(r.path)
+        parts[name.removeprefix(base)] = {"bytes": r.bytes, "rows": r.n, "content": hashlib.sha256(f"{r.n}:{r.a}:{r.b}".encode()).hexdigest()}
+    return parts
 
 
 def change_receipt(old: Mapping | None, new: Mapping) -> dict:
@@ -59,15 +68,29 @@ def change_receipt(old: Mapping | None, new: Mapping) -> dict:
     return {
         "generation": new["generation"], "previous": (old or {}).get("generation"),
         "added": sorted(set(b) - set(a)), "removed": sorted(set(a) - set(b)),
-        "replaced": sorted(p for p in both if a[p]["sha256"] != b[p]["sha256"]), "unchanged": sorted(p for p in both if a[p]["sha256"] == b[p]["sha256"]),
+        "replaced": sorted(p for p in both if a[p]["content"] != b[p]["content"]), "unchanged": sorted(p for p in both if a[p]["content"] == b[p]["content"]),
     }
 
 
-def commit(df: DataFrame, root: str, partition: str | None = None, rows_per_file: int = 0, order: Sequence[str] = ()) -> dict:
-    """Writes to a staging folder, adds the manifest, then swaps it with ``root``; a failure leaves the old dataset. Returns the change receipt."""
+def _staged(spark: SparkSession, stage: str, schema: T.StructType, partition: str | None, kind: T.DataType | None) -> DataFrame:
+    """The rows of a stage; folder names of nulls and empty texts are turned back."""
+    df = spark.read.schema(schema).parquet(stage)
+    if partition is None:
+        return df
+    name = F.col(f"`{partition}`")
+    return df.withColumn(partition, F.when(name == "__empty__", "").when(name != "__null__", name).cast(kind))
+
+
+def commit(df: DataFrame, root: str, partition: str | None = None, rows_per_file: int = 0, order: Sequence[str] = (), check: Callable[[DataFrame], None] | None = None) -> dict:
+    """Writes to a staging folder, adds the manifest, then swaps it with ``root``; a failure leaves the old dataset. Returns the change receipt.
+
+    ``check`` gets the staged rows; if it raises, the stage goes and nothing is swapped.
+    """
     spark, generation = df.sparkSession, uuid.uuid4().hex
     stage, backup = f"{root}.stage-{generation}", f"{root}.backup-{generation}"
+    kind = None
     if partition is not None:
+        kind = df.schema[partition].dataType
         if not isinstance(df.schema[partition].dataType, (T.StringType, T.IntegerType, T.LongType)):
             raise ValueError("a partition column is text or a 32 or 64 bit integer")
         df = df.withColumn("_lk_part", partition_value(F.col(f"`{partition}`"))).drop(partition).withColumnRenamed("_lk_part", partition)
@@ -75,11 +98,18 @@ def commit(df: DataFrame, root: str, partition: str | None = None, rows_per_file
         df = df.sortWithinPartitions(*([partition] if partition else []), *order)
     writer = df.write.option("maxRecordsPerFile", rows_per_file)
     (writer.partitionBy(partition) if partition else writer).parquet(stage)
-    old = read_manifest(spark, root)
-    manifest = {"generation": generation, "previous": (old or {}).get("generation"), "schema": json.loads(df.schema.json()), "parts": _parts(spark, stage)}
-    _write_text(spark, f"{stage}/{MANIFEST}", json.dumps(manifest))
     fs, target = hadoop(spark, root)
     path = spark._jvm.org.apache.hadoop.fs.Path
+    if check:
+        try:
+            check(_staged(spark, stage, df.schema, partition, kind))
+        except Exception:
+            fs.delete(path(stage), True)
+            raise
+    old = read_manifest(spark, root)
+    written = T.StructType([f for f in df.schema.fields if f.name != partition])
+    manifest = {"generation": generation, "previous": (old or {}).get("generation"), "schema": json.loads(df.schema.json()), "parts": _parts(spark, stage, written)}
+    _write_text(spark, f"{stage}/{MANIFEST}", json.dumps(manifest))
     if fs.exists(target) and not fs.rename(target, path(backup)):
         raise OSError(f"can't move {root} away")
     if not fs.rename(path(stage), target):

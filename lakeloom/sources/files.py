@@ -67,13 +67,14 @@ def select_labels(catalog: Sequence[Mapping], labels: Mapping[str, Sequence[str]
 
 def read_csv(
     spark: SparkSession, paths: Sequence[str], delimiter: str = ",", quote: str = '"', header: bool = True, column_names: Sequence[str] | None = None,
-    null_values: Sequence[str] = ("",), encoding: str = "UTF-8", casts: Mapping[str, Sequence[str]] | None = None, provenance: bool = True,
+    null_values: Sequence[str] = ("",), encoding: str = "UTF-8", casts: Mapping[str, Sequence[str]] | None = None, provenance: bool = True, multi_line: bool = False,
 ) -> DataFrame:
     """Delimited text, read as text (a malformed row is an error), then cast by group, by name, or not at all.
 
-    Provenance adds file_name, source_modified_at and source_created_at (unknown to Spark, so null).
+    ``multi_line``: quoted values may hold line breaks; a file is then read by one task, else it is split. Files with a header must
+    have the same one (an error on the executors). Provenance adds file_name, source_modified_at and source_created_at (unknown to Spark, so null).
     """
-    options = {"sep": delimiter, "quote": quote, "encoding": encoding, "mode": "FAILFAST", "multiLine": "true", "escape": quote}
+    options = {"sep": delimiter, "quote": quote, "encoding": encoding, "mode": "FAILFAST", "multiLine": str(multi_line).lower(), "escape": quote}
     names = list(column_names or [])
     if not names:
         if not header:

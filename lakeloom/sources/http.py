@@ -6,8 +6,11 @@ the driver, their rows are spread over the cluster by Spark.
 
 from __future__ import annotations
 
+import csv
 import io
 import json
+import urllib.parse
+import urllib.request
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator, Mapping
@@ -128,3 +131,31 @@ def latest_entry(master: str, kind: str) -> tuple[str, int]:
         raise ValueError(f"no {kind} entry")
     size, _, url = max(found, key=lambda x: x[2])
     return url, int(size)
+
+
+def fetch_url(url: str, params: Mapping[str, object] | None = None, most_bytes: int = 1 << 28, timeout: float = 60.0) -> bytes:
+    """The body of a GET over http or https; a larger one is an error."""
+    if not url.lower().startswith(("http://", "https://")):
+        raise ValueError(f"not an http url: {url}")
+    asked = f"{url}{'&' if '?' in url else '?'}{urllib.parse.urlencode(params)}" if params else url
+    with urllib.request.urlopen(asked, timeout=timeout) as answer:
+        body = answer.read(most_bytes + 1)
+    if len(body) > most_bytes:
+        raise ValueError(f"more than {most_bytes} bytes from {url}")
+    return body
+
+
+def read_source(spark: SparkSession, source: Mapping, fetch: Fetch | None = None) -> DataFrame:
+    """An HTTP source of a definition: ``url``, ``params``, ``format`` (json, ndjson, xml; csv in a zip as ``zip``), ``item_path``, ``total_path``, ``pagination``, ``most_bytes``."""
+    most = source.get("most_bytes", 1 << 28)
+    fetch = fetch or (lambda url, params: fetch_url(url, params, most))
+    kind, item = source.get("format", "json"), source.get("item_path")
+    if kind == "zip":
+        rows = []
+        for name, body in sorted(unzip(fetch(source["url"], source.get("params", {})), most_bytes=most).items()):
+            rows += [row | {"file_name": name} for row in csv.DictReader(io.StringIO(body.decode(source.get("encoding", "utf-8"))), delimiter=source.get("delimiter", ","))]
+        return read(spark, lambda url, params: b"", source["url"], parse=lambda _: rows)
+    parsers = {"json": lambda body: parse_json(body, item, source.get("total_path")), "ndjson": parse_ndjson, "xml": lambda body: parse_xml(body, item)}
+    if kind not in parsers:
+        raise ValueError(f"unknown format {kind!r}")
+    return read(spark, fetch, source["url"], source.get("params", {}), parsers[kind], source.get("pagination"))

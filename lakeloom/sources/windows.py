@@ -60,15 +60,34 @@ def tasks(windows: Sequence[tuple], sub_jobs: Sequence[Mapping] = ({},)) -> list
     return [{"date_from": a, "date_to": b, "filters": dict(s)} for a, b in windows for s in sub_jobs]
 
 
-def extract(spark: SparkSession, sql: str, windows: Sequence[tuple]) -> DataFrame:
-    """All windows of a template over registered views, as one lazy union."""
+def extract(spark: SparkSession, sql: str, windows: Sequence[tuple], adapter: str = "spark_sql", sub_jobs: Sequence[Mapping] = ({},), parameters: Mapping | None = None) -> DataFrame:
+    """Every window and sub-job of a template through a source adapter, as one lazy union.
+
+    Adapters get the window and a sub-job's values as parameters ``date_from``, ``date_to`` and by name.
+    """
+    if adapter not in ADAPTERS:
+        raise ValueError(f"unknown adapter {adapter!r}")
     out = None
-    for a, b in windows:
-        part = spark.sql(sql, args={"date_from": a.isoformat(sep=" "), "date_to": b.isoformat(sep=" ")})
+    for task in tasks(windows, sub_jobs):
+        given = dict(parameters or {}) | task["filters"] | {k: task[k].isoformat(sep=" ") for k in ("date_from", "date_to")}
+        part = ADAPTERS[adapter](spark, sql, given)
         out = part if out is None else out.unionAll(part)
+    if out is None:
+        raise ValueError("no windows to extract")
     return out
 
 
+def read_windows(spark: SparkSession, source: Mapping, now: dt.datetime | None = None) -> DataFrame:
+    """A windowed source of a definition: ``sql``, or ``table``, ``columns``, ``date_column`` and ``filters``; ``start``, ``end``, ``step`` (such as 1d, 6h, 15m), ``adapter``, ``sub_jobs``, ``parameters``."""
+    sql = source.get("sql") or template_sql(source["table"], source["columns"], source["date_column"], source.get("filters", ()))
+    m = re.fullmatch(r"(\d+)([dhm])", str(source.get("step", "1d")))
+    if not m:
+        raise ValueError(f"a step is a number of d, h or m, not {source['step']!r}")
+    step = int(m[1]) * {"d": DAY, "h": dt.timedelta(hours=1), "m": dt.timedelta(minutes=1)}[m[2]]
+    spans = expand(source["start"], source["end"], step, now or dt.datetime.now(dt.UTC).replace(tzinfo=None))
+    return extract(spark, sql, spans, source.get("adapter", "spark_sql"), source.get("sub_jobs") or ({},), source.get("parameters"))
+
+
 ADAPTERS: dict[str, object] = {}
 
 
@@ -89,4 +108,8 @@ def _spark_sql(spark, sql, parameters):
 
 @adapter("jdbc")
 def _jdbc(spark, sql, parameters):
-    return spark.read.format("jdbc").options(query=sql, **parameters).load()
+    """Parameters that the template names are written into it as text literals; the others are options of the connection."""
+    named = {k: v for k, v in parameters.items() if f":{k}" in sql}
+    for name, value in named.items():
+        sql = re.sub(rf":{name}\b", lambda _, v=value: "'" + str(v).replace("'", "''") + "'", sql)
+    return spark.read.format("jdbc").options(query=sql, **{k: v for k, v in parameters.items() if k not in named}).load()

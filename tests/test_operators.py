@@ -164,3 +164,13 @@ def test_incremental_plan_and_skips():
     assert incremental.plan(receipt["parts"], receipt, "other").mode == "full"
     kept, skipped = incremental.runnable({"a": "[x] + 1", "b": "[a] + [gone]", "c": "[b]"}, ["x"])
     assert list(kept) == ["a"] and set(skipped) == {"b", "c"}
+
+
+def test_pivot_minima_of_text_and_duplicate_warning(spark):
+    df = spark.createDataFrame([(1, "x", "9", 1), (1, "x", "10", 2), (1, "y", "b", 3), (1, "y", "10", 4), (2, "x", None, 5), (2, "x", "1.0", 6), (2, "x", "1", 7)], "r int, c string, v string, o int")
+    out = {r.r: r for r in reshape.pivot(df, ["r"], ["c"], [{"name": "v", "agg": "min"}, {"name": "v", "agg": "max"}], ["o"], name=("<column_key_value>", "<agg>")).collect()}
+    assert (out[1].x__min, out[1].x__max, out[1].y__min, out[1].y__max, out[2].x__min, out[2].x__max) == ("9", "10", "10", "b", "1.0", "1.0")
+    with pytest.warns(UserWarning, match="3 pivot cells"):
+        reshape.pivot(df, ["r"], ["c"], [{"name": "v", "agg": "first"}], ["o"], duplicates="warn")
+    with pytest.raises(ValueError):
+        reshape.pivot(df, ["r"], ["c"], [{"name": "v", "agg": "first"}], ["o"], duplicates="maybe")

@@ -18,6 +18,20 @@ def test_publish_read_and_collect(spark, tmp_path):
     assert publish.collect_garbage(spark, target) == [first] and publish.current(spark, target) == second
 
 
+def test_two_publishers_of_one_pointer(spark, tmp_path, monkeypatch):
+    root, target = f"{tmp_path}/data", f"{tmp_path}/public"
+    sinks.commit(spark.range(5), root)
+    first = publish.publish(spark, root, target)["generation"]
+    sinks.commit(spark.range(6), root)
+    monkeypatch.setattr(publish, "_pointer", lambda *_: (0, None))  # a publisher that has not seen the first pointer
+    with pytest.raises(ValueError, match="meanwhile"):
+        publish.publish(spark, root, target)
+    monkeypatch.undo()
+    assert publish.current(spark, target) == first
+    (tmp_path / "public" / "pointers" / "000000000002.json").write_text("")  # written by half
+    assert publish.current(spark, target) == first
+
+
 def test_key_lookup(spark, tmp_path):
     df = spark.range(100).selectExpr("id", "cast(id % 7 as int) AS k", "if(id % 7 = 3, null, 'x') AS s")
     df.repartition(4).write.parquet(f"{tmp_path}/d")

@@ -4,8 +4,9 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from lakeloom import plans, sinks, streaming
+from lakeloom import plans, quality, sinks, streaming
 from lakeloom.plans import chain
 from lakeloom.sources import files, http, windows
 
@@ -141,3 +142,48 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/src")
         streaming.process_new_files(spark, f"{tmp_path}/src", df.schema, lambda x: x.selectExpr("id * 2 AS id"), f"{tmp_path}/dst", f"{tmp_path}/state")
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/dst").collect()) == [2, 2, 4, 4]
+
+
+def test_assertions_hold_at_their_step_and_on_staged_files(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, None), (3, "")], "id long, p string").write.parquet(f"{tmp_path}/in")
+    source = {"in": {"paths": [f"{tmp_path}/in"]}}
+
+    def document(first, last, **output):
+        steps = [{"op": "data_assertion", "rules": first}, {"op": "filter", "sql": "id < 3"}, {"op": "add_calc", "expressions": {"twice": "id * 2"}}, {"op": "data_assertion", "rules": last}]
+        return {"sources": source, "steps": steps, "output": {"path": f"{tmp_path}/out"} | output}
+
+    plans.run(spark, document([{"kind": "row_count", "min": 3}], [{"kind": "range", "column": "twice", "max": 4}, {"kind": "row_count", "max": 2}], partition="p"))
+    for bad in (document([{"kind": "row_count", "max": 2}], []), document([], [{"kind": "row_count", "min": 3}]), document([], [{"kind": "not_null", "columns": ["p"]}], partition="p")):
+        with pytest.raises(quality.AssertionFailed):
+            plans.run(spark, bad)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+    assert not [p.name for p in tmp_path.iterdir() if ".stage-" in p.name or ".backup-" in p.name]
+    assert plans.run(spark, document([], []), smoke=1)["previous"]
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_receipts_compare_rows_not_files(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"a b%{i % 2}", {"k": i}) for i in range(10)], "id long, p string, m map<string,int>").coalesce(1)
+    sinks.commit(df, f"{tmp_path}/out", "p", order=["id"])
+    parts = sinks.read_manifest(spark, f"{tmp_path}/out")["parts"]
+    assert sorted(v["rows"] for v in parts.values()) == [5, 5] and all(v["bytes"] > 0 for v in parts.values())
+    first = sorted(v["content"] for v in parts.values())
+    sinks.commit(df.orderBy(F.desc("id")).coalesce(1), f"{tmp_path}/out", "p")
+    assert sorted(v["content"] for v in sinks.read_manifest(spark, f"{tmp_path}/out")["parts"].values()) == first
+
+
+def test_http_source_of_a_definition(spark):
+    def fetch(url, params):
+        return {"json": b'{"items": [{"a": 1}, {"a": 2}]}', "ndjson": b'{"a": 1}\n{"a": 2}\n'}[url]
+
+    for kind in ("json", "ndjson"):
+        source = {"url": kind, "format": kind, "item_path": "items"}
+        assert [r.a for r in http.read_source(spark, source, fetch).collect()] == ["1", "2"]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("x.csv", "a,b\n1,2\n")
+    assert [(r.a, r.file_name) for r in http.read_source(spark, {"url": "u", "format": "zip"}, lambda u, p: packed.getvalue()).collect()] == [("1", "x.csv")]
+    with pytest.raises(ValueError):
+        http.fetch_url("file:///etc/hosts")
+    with pytest.raises(ValueError):
+        http.read_source(spark, {"url": "u", "format": "nope"}, fetch)

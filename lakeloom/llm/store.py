@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a temporary folder is set there only where it is unset."""
+    """A fresh path below ``spark.checkpoint.dir``. Where that is unset, a temporary folder is set, but only if driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lakeloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lakeloom/{name}-{uuid.uuid4().hex}"

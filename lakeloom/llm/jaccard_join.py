@@ -40,6 +40,7 @@ from .components import components
 from .store import materialise, partitions_for
 
 SIZE = 5
+CHUNK_BYTES = 2 << 20
 PERCENT = 80
 BROADCAST_ROWS = 1_000_000
 STARS = 8
@@ -81,7 +82,7 @@ def _classes(rows, keys, n):
 def _label(size):
     def run(batches):
         for batch in batches:
-            for first, end, data, offsets in flat.chunks(batch.column("text")):
+            for first, end, data, offsets in flat.chunks(batch.column("text"), CHUNK_BYTES):
                 count, kind = _classes(*shingle_sets(data, offsets, size), end - first)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array(count, pa.int64()), pa.array(kind)], names=["doc_id", "n_shingles", "class"])
 
@@ -114,7 +115,7 @@ def _unpack(batches, key_type):
 def _postings(size, partitions):
     def run(batches):
         for batch in batches:
-            for _, _, data, offsets in flat.chunks(batch.column("text")):
+            for _, _, data, offsets in flat.chunks(batch.column("text"), CHUNK_BYTES):
                 rows, keys = shingle_sets(data, offsets, size)
                 count, kind = _classes(rows, keys, len(offsets) - 1)
                 once = np.zeros(len(count), bool)
@@ -191,7 +192,7 @@ def _prefixes(percent):
 def _set_blobs(size):
     def run(batches):
         for batch in batches:
-            for first, end, data, offsets in flat.chunks(batch.column("text")):
+            for first, end, data, offsets in flat.chunks(batch.column("text"), CHUNK_BYTES):
                 rows, keys = shingle_sets(data, offsets, size)
                 count, kind = _classes(rows, keys, end - first)
                 bounds = np.append(0, np.cumsum(count)) * 8

@@ -55,7 +55,7 @@ ADDED = (
 )
 RULES = BASE + ADDED
 KINDS = [r.kind for r in RULES]
-SALTS = 16
+SALTS = 8
 BLOBS = f"blob string, results array<struct<rule:string,found:{spans.SPAN}>>"
 VERSIONS = "path string, delivery int, blob string"
 

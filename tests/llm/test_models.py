@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakeloom.llm import topk_search, toxicity, url_filter, vector_dedup
@@ -134,6 +135,19 @@ def test_url_rules_and_mined_rules(spark):
     assert url_filter.judge(pages.limit(0), mined).collect() == []
 
 
+def test_toxicity_of_long_texts_repeated_rows_and_ties(spark):
+    rows = toxic_corpus(random.Random(5))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    model, again = toxicity.fit(docs, labels), toxicity.fit(docs.orderBy("text").repartition(3), labels.union(labels))
+    texts = ["loran madel " * 100_000, "loran madel " * 100_000 + "vilenoun scumbagger vilenoun", "you vilenoun"]
+    odd = spark.createDataFrame([(i % 3, texts[i % 3], "x") for i in range(6)], "doc_id long, text string, n_hits string")
+    scored = sorted((r.doc_id, r.score, r.n_hits) for r in toxicity.score(odd, model).collect())
+    assert scored[0] == scored[1] and scored[2] == scored[3] and scored[4] == scored[5]
+    assert scored[0][2] == 0 and scored[2][2] == 3 and scored[4][1] >= toxicity.THRESHOLD > scored[0][1]
+    assert scored == sorted((r.doc_id, r.score, r.n_hits) for r in toxicity.score(odd, again).collect())
+
+
 def brute_rules(urls, least=5, support=0.002, lift=1.5, z=2.0, most=4):
     """(tokens, confidence) of every rule over (url, bad) by trying all token sets."""
     cut = re.compile(r"^.*?://([^/?#]*)([^?#]*)(.*)$", re.S)
@@ -259,6 +273,33 @@ def bm25(docs, queries, k):
     return sorted(out)
 
 
+def test_topk_ties_repeated_rows_long_texts_and_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 70)
+    long = " ".join(f"word{k % 3000}" for k in range(60_000))
+    docs = [(i, "same text for a tie") for i in range(40, 0, -1)] + [(200, "same text for a tie"), (200, "same text for a tie"), (300, long), (301, "word7 word8"), (None, "tie tie tie")]
+    frame = spark.createDataFrame([(*d, 1.0, 5, "x") for d in docs], "doc_id long, text string, score double, rank int, query_id string")
+    asked = spark.createDataFrame([(1, "a tie", 0.5), (2, "word7", 0.5), (3, long, 0.5)], "query_id long, text string, score double")
+    got = [tuple(r) for r in topk_search.search(frame, asked, 10).orderBy("query_id", "rank").collect()]
+    wanted = bm25([d for d in docs if d[0] is not None] + [(10**9, "tie tie tie")], [(1, "a tie"), (2, "word7"), (3, long)], 10)
+    assert [(q, r, 10**9 if i is None else i) for q, r, i, _ in got] == [(q, r, i) for q, r, i, _ in wanted]
+    assert [g[2] for g in got if g[0] == 1][-9:] == list(range(1, 10)) or [g[2] for g in got if g[0] == 1] == list(range(1, 11))
+
+
+def test_topk_prunes_blocks():
+    rng = np.random.default_rng(3)
+    themes = [[f"t{k}w{i}" for i in range(60)] for k in range(16)]
+    texts = [" ".join(rng.choice(themes[i % 16], 40)) for i in range(2048)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2048), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    row = next(topk_search._build(4096)(iter([batch])))
+    shard = topk_search.Shard(*(row.column(c)[0].as_buffer() for c in ("terms", "many", "index")), 40.0)
+    names, many = (np.frombuffer(row.column(c)[0].as_buffer(), t) for c, t in (("terms", np.uint64), ("many", np.int64)))
+    best = topk_search.Best(8, 10)
+    own, terms, _, _ = next(topk_search.doc_terms(d, o) for _, _, d, o in topk_search.flat.chunks(pa.array(texts[:8])))
+    df = many[np.searchsorted(names, terms)]
+    shard.search(own, terms, np.log(1 + (2048 - df + 0.5) / (df + 0.5)), best)
+    assert shard.pivots < shard.met / 4 and np.bincount(best.rows[0]).tolist() == [10] * 8
+
+
 def test_topk_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "SHARD_ROWS", 90)
     monkeypatch.setattr(topk_search, "QUERY_BLOCK", 7)

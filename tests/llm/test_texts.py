@@ -278,6 +278,22 @@ def test_pii(spark):
     assert pii.find_pii(plain).first().pii == [] and pii.find_pii(plain.limit(0)).collect() == []
 
 
+def test_added_personal_data_on_a_labelled_fixture(spark):
+    """Precision and recall of the added spans, where the text around a number tells what it is."""
+    rng, rows, truth = random.Random(12), [], set()
+    for i in range(600):
+        number = f"{rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+        real = rng.random() < 0.5
+        lead = rng.choice(["Tel: ", "call me on ", "mobile ", "Kontakt: "] if real else ["order no ", "price ", "version ", "serial "])
+        tail = rng.choice([".", ", thanks", ""] if real else ["/7", "_a", "%", "."])
+        rows.append((i, f"{'some words ' * rng.randrange(3)}{lead}{number}{tail}"))
+        if real:
+            truth.add(i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in pii.find_pii(docs).collect() if any(x.kind in pii.ADDED for x in r.pii)}
+    assert len(found & truth) >= 0.95 * len(found) and len(found & truth) >= 0.95 * len(truth)
+
+
 def test_estimated_reliabilities():
     rng, patterns, truth = random.Random(1), collections.Counter(), {}
     for _ in range(4000):

@@ -18,6 +18,7 @@ that the output column of the operator replaces one of the same name; no rows gi
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 
@@ -84,6 +85,7 @@ class Encoder:
         self.by_key = np.argsort(keys)
         self.keys = keys[self.by_key]
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.mark = os.path.commonprefix(list(self.special))  # what every special token starts with
         self.kind = np.full(0x110000, OTHER, np.uint8)
         for c in range(0x110000):
             category = unicodedata.category(chr(c))[0]
@@ -186,7 +188,7 @@ class Encoder:
         """Ids of all texts in a row (uint32), and where each text's ids start; the last entry is their number."""
         units, unit_special, unit_of = [], [], [0]
         for text in texts:
-            parts = self.cut.split(text) if text and "<|" in text and self.cut else (text,)
+            parts = self.cut.split(text) if text and self.cut and self.mark in text else (text,)
             for part in parts:
                 special = self.special.get(part, -1) if len(parts) > 1 else -1
                 part = "" if special >= 0 or not part else part

@@ -67,16 +67,17 @@ def reference_replace_segment(spark, sf_dir):
 def _join(name, how, sql):
     @register(name, sql)
     def run(spark, sf_dir):
-        nation = table(spark, sf_dir, "nation").filter("n_nationkey < 15").select("n_nationkey", "n_name")
-        customer = table(spark, sf_dir, "customer").filter("c_nationkey >= 5").withColumn("n_nationkey", F.nullif(F.col("c_nationkey"), F.lit(8))).select("n_nationkey", "c_custkey")
+        # keys five apart: the first of one side and the last of the other have no partner
+        nation = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 5).alias("n_nationkey"), "n_name")
+        customer = table(spark, sf_dir, "customer").select(F.nullif(F.col("c_nationkey"), F.lit(8)).alias("n_nationkey"), "c_custkey")
         out = joins.join(nation, customer, ["n_nationkey"], how)
         return out if how != "semi" else out.select("n_nationkey", "n_name")
 
 
-_LR = "(SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 15) l {how} JOIN (SELECT nullif(c_nationkey, 8) AS k, c_custkey FROM customer WHERE c_nationkey >= 5) r ON l.n_nationkey = r.k"
+_LR = "(SELECT n_nationkey + 5 AS n_nationkey, n_name FROM nation) l {how} JOIN (SELECT nullif(c_nationkey, 8) AS k, c_custkey FROM customer) r ON l.n_nationkey = r.k"
 for _how in ("inner", "left", "right", "full"):
     _join(f"join_{_how}", _how, "SELECT coalesce(n_nationkey, k) AS n_nationkey, n_name, c_custkey FROM " + _LR.format(how=_how))
-_join("join_semi", "semi", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 15 AND n_nationkey IN (SELECT nullif(c_nationkey, 8) FROM customer WHERE c_nationkey >= 5)")
+_join("join_semi", "semi", "SELECT n_nationkey + 5 AS n_nationkey, n_name FROM nation WHERE n_nationkey + 5 IN (SELECT nullif(c_nationkey, 8) FROM customer)")
 
 
 @register("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
@@ -252,12 +253,13 @@ def compare_summary(spark, sf_dir):
     return compare.summary(df).select("row_count", "duplicates", "null_n_name")
 
 
-@register("compare_differences", "SELECT n_nationkey, n_name, n_regionkey, 'left' AS side FROM nation WHERE n_nationkey < 2 UNION ALL SELECT n_nationkey, n_name, n_regionkey, 'right' FROM nation WHERE n_nationkey > 22")
+@register("compare_differences", "SELECT n_nationkey, n_name, n_regionkey, 'left' AS side FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_nationkey, n_name || '!', n_regionkey, 'right' FROM nation WHERE n_regionkey = 2")
 def compare_differences(spark, sf_dir):
     from .. import compare
 
     nation = table(spark, sf_dir, "nation")
-    return compare.differences(nation.filter("n_nationkey <= 22"), nation.filter("n_nationkey >= 2"))
+    changed = nation.withColumn("n_name", F.when(F.col("n_regionkey") == 2, F.concat("n_name", F.lit("!"))).otherwise(F.col("n_name")))
+    return compare.differences(nation, changed)
 
 
 @register("route_events", "SELECT event_id, 'high' AS route FROM events WHERE value > 50 UNION ALL SELECT event_id, 'clicks' FROM events WHERE event_type = 'click'")

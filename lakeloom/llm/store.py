@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lakeloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lakeloom/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/lakeloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
@@ -45,8 +45,8 @@ def partitions_for(df: DataFrame, mb: int = 16) -> int:
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes all intermediate tables below the shared folder; call it when no result of these operators is still to be read."""
+    """Deletes the intermediate tables of this application, no other's; call it when no result of these operators is still to be read."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/lakeloom")
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/lakeloom/{spark.sparkContext.applicationId}")
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -358,7 +358,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, recall: float = RE
     met = materialise(met, "met")
     if report is not None:
         audit = met.agg(F.sum("truth").alias("truth"), F.sum("seen").alias("seen")).first()
-        report.update(truth=audit.truth or 0, seen=audit.seen or 0, recall=(audit.seen or 0) / (audit.truth or 1))
+        report.update(truth=audit.truth or 0, seen=audit.seen or 0, recall=audit.seen / audit.truth if audit.truth else 1.0)
     counts = met.filter("rid >= 0").groupBy("rid").agg(F.sum("n").alias("n"))
     edges = met.filter("root >= 0 and root <> rid").select(F.col("rid").alias("a"), F.col("root").alias("b"))
     roots = components(edges).toDF("rid", "component")

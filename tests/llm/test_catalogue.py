@@ -36,6 +36,6 @@ def test_tables_are_cleared(spark):
     df = store.materialise(spark.range(3), "range")
     assert df.count() == 3
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
-    assert os.listdir(f"{folder}/lakeloom")
+    assert os.listdir(f"{folder}/lakeloom/{spark.sparkContext.applicationId}")
     store.clear(spark)
-    assert not os.path.exists(f"{folder}/lakeloom")
+    assert not os.path.exists(f"{folder}/lakeloom/{spark.sparkContext.applicationId}")

@@ -3,8 +3,12 @@
 import collections
 import random
 import re
+import zlib
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
+import public_tokenizers
 from test_jaccard_join import brute
 from test_texts import cut, secrets
 
@@ -71,6 +75,20 @@ def test_stages(spark, folder):
 
     packed = stage["best_fit_packing"](spark, clean, folder).collect()
     assert {r.doc_id for r in packed} == {i for i, _ in pairs(clean)}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    wanted = collections.Counter()
+    for i, text in pairs(clean):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for piece, start in enumerate(range(0, len(ids), 2048)):
+            part = ids[start : start + 2048]
+            wanted[i, piece, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == wanted
+    places = collections.defaultdict(list)
+    for r in packed:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert all(offset == sum(n for _, n in sorted(inside)[:k]) for inside in places.values() for k, (offset, _) in enumerate(sorted(inside)))
     whole = collections.defaultdict(int)
     for r in packed:
         whole[r.sequence_id] += r.length

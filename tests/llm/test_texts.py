@@ -115,6 +115,10 @@ def test_pack(spark, tokenizer):
         assert at <= capacity
     assert len(by) <= check_plan([r.length for r in out], capacity)
     assert packing.pack(docs.limit(0)).collect() == []
+    other = docs.selectExpr("*", "1 as piece", "2 as length", "'x' as sequence_id")
+    assert packing.pack(other, capacity=capacity).columns == packing.pack(docs, capacity=capacity).columns
+    with pytest.raises(ValueError, match="clash"):
+        packing.pack(other, keep=("doc_id", "piece"))
 
 
 def cut(rows):

@@ -329,6 +329,16 @@ def _known(text: str, words: set[str], stems: set[str]) -> set[tuple[str, str]]:
     return out
 
 
+_COUNTS = "kind string, term string, fold int, toxic int, n long"
+_COUNTS_ARROW = pa.schema([("kind", pa.string()), ("term", pa.string()), ("fold", pa.int32()), ("toxic", pa.int32()), ("n", pa.int64())])
+
+
+def _counted(found: Counter) -> pa.RecordBatch:
+    """(kind, term, fold, toxic) and their counts as rows; of the same types if there are none."""
+    columns = zip(*((*key, n) for key, n in found.items()), strict=True) if found else [()] * len(_COUNTS_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _COUNTS_ARROW, strict=True)], schema=_COUNTS_ARROW)
+
+
 def _counts(wanted=None):
     """(kind, term, fold, toxic, documents) of each chunk; all terms, or those in the broadcast ``wanted``."""
 
@@ -339,8 +349,7 @@ def _counts(wanted=None):
                 for text, toxic, fold in zip(texts, batch.column("toxic").slice(first, end - first).to_pylist(), batch.column("fold").slice(first, end - first).to_pylist(), strict=True):
                     terms = _known(text or "", *wanted.value) if wanted else _terms_of(text or "")
                     found.update((*t, fold, toxic) for t in terms)
-                rows = list(found.items())
-                yield pa.RecordBatch.from_pydict({"kind": [k[0] for k, _ in rows], "term": [k[1] for k, _ in rows], "fold": pa.array([k[2] for k, _ in rows], pa.int32()), "toxic": pa.array([k[3] for k, _ in rows], pa.int32()), "n": pa.array([n for _, n in rows], pa.int64())})
+                yield _counted(found)
 
     return run
 
@@ -360,9 +369,6 @@ def _sketched(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view(np.int64))], names=[*batch.schema.names, "sketch"])
 
 
-_COUNTS = "kind string, term string, fold int, toxic int, n long"
-
-
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learns terms and weights from the labelled rows of ``docs``; see the module's text for the bound."""
     spark = docs.sparkSession
@@ -402,9 +408,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
                 for k, lexicon in enumerate(lexicons):
                     words: list[tuple[int, str]] = []
                     features(texts, lexicon, words)
-                    found.update((w, k, toxic[r]) for r, w in words if k == 2 or fold[r] == k)
-                rows = list(found.items())
-                yield pa.RecordBatch.from_pydict({"kind": ["near"] * len(rows), "term": [x[0] for x, _ in rows], "fold": pa.array([x[1] for x, _ in rows], pa.int32()), "toxic": pa.array([x[2] for x, _ in rows], pa.int32()), "n": pa.array([n for _, n in rows], pa.int64())})
+                    found.update(("near", w, k, toxic[r]) for r, w in words if k == 2 or fold[r] == k)
+                yield _counted(found)
 
     seen = once.mapInArrow(near_words, _COUNTS).groupBy("term", "fold").agg(*[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(n) for n, y in (("p", 1), ("q", 0))])
     ordinary: list[set[str]] = [set(), set(), set()]

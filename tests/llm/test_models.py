@@ -135,6 +135,19 @@ def test_url_rules_and_mined_rules(spark):
     assert url_filter.judge(pages.limit(0), mined).collect() == []
 
 
+def test_toxicity_learns_from_chunks_without_terms(spark):
+    """Chunks of text with nothing to count stand before, between and after others in one task."""
+    rows = [(i, f"{('vilenoun', 'vilenoum', '..', '..', '..')[i % 5]} {i} 1 2", int(i % 5 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        model = toxicity.fit(docs, labels)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "vilenoun" in model.lexicon.words and "vilenoum" in model.lexicon.ordinary
+
+
 def test_toxicity_of_long_texts_repeated_rows_and_ties(spark):
     rows = toxic_corpus(random.Random(5))
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")

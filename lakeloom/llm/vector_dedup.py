@@ -3,9 +3,12 @@
 Vectors are compared only under one label. Equal vectors are first folded into one. Each label is split into
 shards of about ``SHARD_ROWS`` vectors; each shard gets a graph, and every vector of the label queries
 every shard of it. Graphs and blocks of queries meet in tiles of ``TILE`` by ``TILE`` shards, so a label's
-graphs are copied once for each column of tiles, not for each block. A query widens its beam while the beam is full of vectors in range. After that,
+graphs are copied once for each column of tiles, not for each block. A query starts where the upper layers lead it, from the nearest of
+``ENTRIES`` nodes spread over the shard and, in its own shard, from itself. It widens its beam while the beam is full of vectors in range. After that,
 for each graph, ``AUDIT`` queries of every block of the tile and as many that found links are compared with all of the shard; while
-the recall of their links (a vector itself is none) is below ``RECALL``, all are queried again with beams twice as wide. Pairs
+the recall of their links (a vector itself is none) is below ``RECALL``, all are queried again with beams twice as wide and ``MORE`` times the
+spread nodes: a query that is lost, far from a large group of near copies, needs another start and hardly a wider beam. In its own shard a
+link found from one side counts for both. Pairs
 from the graphs are verified by cosine in double precision. A task hands on link counts and a spanning forest of its links, never all pairs, and
 components are joined from the forests.
 
@@ -35,6 +38,8 @@ AUDIT = 48
 DEGREE = 16
 BUILD_BEAM = 64
 QUERY_BEAM = 64
+ENTRIES = 64
+MORE = 8
 BATCH = 256
 TILE = 4
 SALTS = 8
@@ -145,11 +150,12 @@ class Graph:
         table = self.links[layer]
         rows = np.arange(b)[:, None]
         visited = np.zeros((b, n), bool)
-        visited[rows, near] = True
-        ids = near
-        sims = np.einsum("bd,bkd->bk", q, self.x[ids])
+        ids = np.sort(near, axis=1)
+        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
+        visited[np.broadcast_to(rows, ids.shape)[ids >= 0], ids[ids >= 0]] = True
+        sims = np.where(ids < 0, q.dtype.type(-9), np.einsum("bd,bkd->bk", q, self.x[np.maximum(ids, 0)]))
         sims, ids = _top(sims, ids, beam)
-        open_ = np.ones(ids.shape, bool)
+        open_ = ids >= 0
         step = max(4, beam // 16)
         active = np.arange(b)
         while len(active):
@@ -183,9 +189,14 @@ class Graph:
             sims[active, :w], ids[active, :w], open_[active, :w] = s, i, o & (s > -8)
         return sims, ids
 
-    def within(self, q, least, beam):
-        """(query, node) with similarity of at least ``least``; a beam that is full in range is widened."""
+    def within(self, q, least, beam, entries=ENTRIES, own=None):
+        """(query, node) with similarity of at least ``least``; a beam that is full in range is widened.
+
+        ``entries``: so many nodes spread over all, the nearest of which are starts too; ``own``: the node that is the query, or -1.
+        """
         found_q, found_v = [], []
+        spread = np.unique(np.linspace(0, len(self.x) - 1, min(entries, len(self.x))).astype(int))
+        own = np.full(len(q), -1) if own is None else own
         todo, n = np.arange(len(q)), len(self.x)
         while len(todo):
             again = []
@@ -196,7 +207,8 @@ class Graph:
                 for layer in range(len(self.links) - 1, 0, -1):
                     near = self.search(q[part], near, 8, layer)[1]
                     near = np.where(near < 0, self.entry, near)
-                sims, ids = self.search(q[part], near[:, :1], beam, 0)
+                nearest = _top(q[part] @ self.x[spread].T, np.broadcast_to(spread, (len(part), len(spread))), 4)[1]
+                sims, ids = self.search(q[part], np.concatenate((near, nearest, own[part][:, None]), 1), beam, 0)
                 full = (ids.shape[1] >= beam) & (sims[:, -1] >= least) & (beam < n)
                 again.append(part[full])
                 r, c = np.nonzero((sims >= least) & (ids >= 0) & ~full[:, None])
@@ -253,6 +265,24 @@ def _forest(a, b):
 _MET = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("truth", pa.int64()), ("seen", pa.int64())])
 
 
+def _mirrored(a, v, home, n):
+    """Pairs (query, node) and, where both are queries and nodes of one shard of ``n``, the pairs found from the other side only."""
+    inside = np.flatnonzero(home >= 0)
+    asker = np.full(n, -1)
+    asker[home[inside]] = inside
+    if not len(inside):
+        return a, v
+    met = np.zeros((n, n), bool)
+    mine = home[a] >= 0
+    met[home[a[mine]], v[mine]] = True
+    more = [(a, v)]
+    for at in range(0, n, 1024):
+        r, c = np.nonzero(met[:, at : at + 1024].T & ~met[at : at + 1024])
+        r = asker[at + r]
+        more.append((r[r >= 0], c[r >= 0]))
+    return tuple(np.concatenate(x) for x in zip(*more, strict=True))
+
+
 class _Blocks:
     """The query blocks of a tile, which meet its graphs one by one."""
 
@@ -273,9 +303,12 @@ class _Blocks:
         queries, own = np.concatenate(self.x), np.concatenate(self.rid)
         start = np.cumsum([0, *(len(r) for r in self.rid)])
         fixed = np.concatenate([lo + np.linspace(0, hi - lo - 1, min(AUDIT, hi - lo)).astype(int) for lo, hi in zip(start[:-1], start[1:], strict=True)])
-        slack, beam, audit = least - 1e-5, QUERY_BEAM, None
+        slack, beam, entries, audit = least - 1e-5, QUERY_BEAM, ENTRIES, None
+        order = np.argsort(rid)
+        place = order[np.minimum(np.searchsorted(rid, own, sorter=order), len(rid) - 1)]
+        home = np.where(rid[place] == own, place, -1)
         while True:
-            a, v = graph.within(queries.astype(np.float32), slack, beam)
+            a, v = _mirrored(*graph.within(queries.astype(np.float32), slack, beam, entries, home), home, len(x))
             if audit is None:  # fixed places of every block, and as many queries that found a link
                 linked = np.unique(a[own[a] != rid[v]])
                 audit = np.union1d(fixed, linked[np.linspace(0, len(linked) - 1, min(len(fixed), len(linked))).astype(int)])
@@ -288,7 +321,7 @@ class _Blocks:
             truth, got = int(true.sum()), int((seen & true).sum())
             if got >= recall * truth or beam >= len(x):
                 break
-            beam *= 2
+            beam, entries = beam * 2, entries * MORE
         exact = np.concatenate([np.einsum("kd,kd->k", queries[a[s : s + 65536]], unit[v[s : s + 65536]]) for s in range(0, len(a), 65536)] or [np.zeros(0)])
         ok = (exact >= least) & (own[a] != rid[v])
         a, v = a[ok], v[ok]

@@ -326,3 +326,20 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert [(q, r, i) for q, r, i, _ in got] == [(q, r, i) for q, r, i, _ in wanted]
     assert np.allclose([g[3] for g in got], [w[3] for w in wanted], atol=2e-6)
     assert topk_search.search(frame.limit(0), asked).collect() == [] == topk_search.search(frame, asked.limit(0)).collect()
+
+
+def test_vector_graph_in_pieces_loses_no_link_and_widens_no_beam(monkeypatch):
+    """Two groups of near copies without a way between them, and a node to which no other points."""
+    rng = np.random.default_rng(3)
+    x = vector_dedup._unit(np.repeat(rng.normal(size=(2, 32)), 60, axis=0) + 0.01 * rng.normal(size=(120, 32)))
+    ring = [60 * (i // 60) + (i % 60 + np.arange(1, 9)) % 60 for i in range(120)]
+    links = np.array([[j if j not in (60, 119) or i == 119 else (j + 9) % 60 + 60 for j in r] for i, r in enumerate(ring)], np.int32)
+    links[60] = ring[60]  # 60 points at others only
+    blob = vector_dedup._blob(x=x, rid=np.arange(120), weight=np.ones(120, int), start=np.array(0), links0=links)
+    beams, within = [], vector_dedup.Graph.within
+    monkeypatch.setattr(vector_dedup.Graph, "within", lambda self, q, least, beam, *more: beams.append(beam) or within(self, q, least, beam, *more))
+    blocks = vector_dedup._Blocks()
+    blocks.add(vector_dedup._blob(x=x, rid=np.arange(120)))
+    met = blocks.meet(blob, 0.98, 0.99).to_pydict()
+    assert {r: n for r, n in zip(met["rid"], met["n"], strict=True) if n} == dict.fromkeys(range(120), 59)
+    assert beams == [vector_dedup.QUERY_BEAM] and met["truth"][-1] == met["seen"][-1] > 0

@@ -343,3 +343,35 @@ def test_vector_graph_in_pieces_loses_no_link_and_widens_no_beam(monkeypatch):
     met = blocks.meet(blob, 0.98, 0.99).to_pydict()
     assert {r: n for r, n in zip(met["rid"], met["n"], strict=True) if n} == dict.fromkeys(range(120), 59)
     assert beams == [vector_dedup.QUERY_BEAM] and met["truth"][-1] == met["seen"][-1] > 0
+
+
+def test_topk_shuffles_no_copy_for_a_pair(spark, monkeypatch):
+    """Disk: however many blocks of queries and groups of shards meet, neither is copied for the other."""
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 30)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 7)
+    docs = [(i, f"common w{i % 11} w{i % 7}") for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = topk_search.search(frame, frame.filter("doc_id % 6 = 0").withColumnRenamed("doc_id", "query_id"), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    got = sorted((r.query_id, r.rank, r.doc_id) for r in found.collect())
+    assert got == [w[:3] for w in bm25(docs, [d for d in docs if d[0] % 6 == 0], 3)]
+
+
+def test_topk_equal_texts_score_equally_in_all_shards():
+    """Ties: a score is added up in one order of the terms, whatever lists of its shard are long."""
+    rng = np.random.default_rng(8)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 400, 200))
+    others = [[" ".join(f"w{i}" for i in rng.integers(0, n, 60)) for _ in range(300)] for n in (50, 400, 4000)]
+    best, scores = topk_search.Best(1, 3), []
+    for number, texts in enumerate(others):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(number * 1000, number * 1000 + 301), pa.int64()), pa.array([*texts, text])], names=["doc_id", "text"])
+        row = next(topk_search._build(4096)(iter([batch])))
+        shard = topk_search.Shard(*(row.column(c)[0].as_buffer() for c in ("terms", "many", "index")), 60.0)
+        own, terms, _, _ = next(topk_search.doc_terms(d, o) for _, _, d, o in topk_search.flat.chunks(pa.array([text])))
+        at = shard.find(terms)
+        shard.weigh(at, np.log(2 + np.arange(len(terms)) / 7))
+        where = int(np.flatnonzero(shard.ids == number * 1000 + 300)[0])
+        scores.append(float(shard._scores(own, at, np.array([0]), np.array([where]), 1)[0]))
+        shard.search(own, terms, np.log(2 + np.arange(len(terms)) / 7), best)
+    assert len(set(scores)) == 1 and best.rows[1].tolist() == [300, 1300, 2300]

@@ -375,3 +375,19 @@ def test_topk_equal_texts_score_equally_in_all_shards():
         scores.append(float(shard._scores(own, at, np.array([0]), np.array([where]), 1)[0]))
         shard.search(own, terms, np.log(2 + np.arange(len(terms)) / 7), best)
     assert len(set(scores)) == 1 and best.rows[1].tolist() == [300, 1300, 2300]
+
+
+def test_topk_scores_only_what_may_enter(monkeypatch):
+    """Work: a shard met by queries that have found k scores few pairs in full."""
+    rng = np.random.default_rng(9)
+    best, pairs, plain = topk_search.Best(20, 5), [], topk_search.Shard._scores
+    monkeypatch.setattr(topk_search.Shard, "_scores", lambda self, of, at, query, doc, m: pairs.append(len(doc)) or plain(self, of, at, query, doc, m))
+    for number in range(3):
+        texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 40) % 5000) for _ in range(1500)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(number * 1500, number * 1500 + 1500), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+        row = next(topk_search._build(4096)(iter([batch])))
+        if not number:
+            own, terms, _, _ = next(topk_search.doc_terms(d, o) for _, _, d, o in topk_search.flat.chunks(pa.array(texts[:20])))
+            idf = 1 + (terms % np.uint64(50)).astype(float) / 10
+        topk_search.Shard(*(row.column(c)[0].as_buffer() for c in ("terms", "many", "index")), 40.0).search(own, terms, idf, best)
+    assert len(pairs) == 3 and max(pairs) < 20 * 1500 / 50 and np.bincount(best.rows[0]).tolist() == [5] * 20

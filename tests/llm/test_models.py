@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lakeloom.llm import topk_search, toxicity, url_filter, vector_dedup
+from lakeloom.llm import store, topk_search, toxicity, url_filter, vector_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -391,3 +391,31 @@ def test_topk_scores_only_what_may_enter(monkeypatch):
             idf = 1 + (terms % np.uint64(50)).astype(float) / 10
         topk_search.Shard(*(row.column(c)[0].as_buffer() for c in ("terms", "many", "index")), 40.0).search(own, terms, idf, best)
     assert len(pairs) == 3 and max(pairs) < 20 * 1500 / 50 and np.bincount(best.rows[0]).tolist() == [5] * 20
+
+
+def test_topk_batches_to_a_worker_are_small(spark, monkeypatch, tmp_path):
+    """Memory: the shards of a task don't come in one batch, however many there are; the session keeps its setting."""
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 20)
+    monkeypatch.setattr(store, "BATCH_BYTES", 1 << 16, raising=False)
+    plain, least, key = topk_search._search, 1 << 17, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def watched(*settings):
+        def run(batches):
+            def small():
+                for batch in batches:
+                    if batch.nbytes > least:
+                        raise ValueError(f"{batch.nbytes} bytes in a batch")
+                    yield batch
+
+            yield from plain(*settings)(small())
+
+        return run
+
+    monkeypatch.setattr(topk_search, "_search", watched)
+    rng, before = random.Random(5), spark.conf.get(key)
+    docs = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(60))) for i in range(4000)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = topk_search.op6_topk_search(spark, str(tmp_path))
+    assert spark.conf.get(key) == before
+    first = [r.doc_id for r in found.filter("rank = 1").orderBy("query_id").collect()]
+    assert first == list(range(0, 4000, 20))

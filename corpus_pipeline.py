@@ -8,6 +8,10 @@
 
 Stages 1 to 4 return the columns of their input. Rows with a null doc_id stay in stages 1 to 4. Rows that
 share a doc_id count as documents of their own in stage 2: only those whose own text is a copy go.
+
+Executors run one stage after the other and keep much of what each took, so texts go to Python workers in small Arrow
+batches throughout (``small_batches``). Stages 1 and 3, which end with a pass over texts, therefore return tables that are
+written already. Stages 2 and 3 pack what they find by batch and so take batches of a whole chunk.
 """
 
 from __future__ import annotations
@@ -15,13 +19,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import jaccard_join, packing, secret_scan, substring_dedup, toxicity
-from lakeloom.llm.store import materialise
+from lakeloom.llm import flat, jaccard_join, packing, secret_scan, substring_dedup, toxicity
+from lakeloom.llm.store import materialise, small_batches
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    with small_batches(spark):
+        model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        return materialise(toxicity.score(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns), "toxicity")
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,21 +34,25 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if ids.n > ids.d:  # rows that share an id: each has a key of its own
         keyed = materialise(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
         named = keyed.filter("doc_id is not null")
-        groups = jaccard_join.jaccard_components(named.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id")
+        with small_batches(spark, flat.CHUNK_BYTES):
+            groups = jaccard_join.jaccard_components(named.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id")
         first = named.select("row_key", "doc_id").join(groups, "row_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
         kept = keyed.join(first.select("first.row_key"), "row_key", "left_semi").unionByName(keyed.filter("doc_id is null"))
         return kept.select(*docs.columns)
-    groups = materialise(jaccard_join.jaccard_components(docs), "groups")
+    with small_batches(spark, flat.CHUNK_BYTES):
+        groups = materialise(jaccard_join.jaccard_components(docs), "groups")
     kept = docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
     return kept.select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = substring_dedup.dedup_substrings(docs, untouched=True)
+    with small_batches(spark, flat.CHUNK_BYTES):
+        out = substring_dedup.dedup_substrings(docs, untouched=True)
     if "n_chars" in docs.columns:
         changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
-    return out.select(*docs.columns)
+    with small_batches(spark):
+        return materialise(out.select(*docs.columns), "substring_dedup")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +64,12 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, with_ids=False)
+    with small_batches(spark):
+        return packing.pack(docs, with_ids=False)
 
 
+#: Stages whose result is a written table.
+WRITTEN = {"toxicity", "substring_dedup"}
 STAGES = [
     ("toxicity", toxicity_stage),
     ("jaccard_join", jaccard_stage),
@@ -72,5 +84,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if name in WRITTEN else materialise(docs, name)
     return docs

@@ -207,10 +207,10 @@ def _removal(columns, schema, untouched):
                 gone = np.cumsum(cover[:-1]) > 0
                 stay = ~gone
                 s, e, r = starts[stay], ends[stay], word_rows[stay]
-                text, mask = data.copy(), np.zeros(len(data) + 1, np.int32)
+                text, mask = data.copy(), np.zeros(len(data) + 1, np.int8)  # words never overlap
                 np.add.at(mask, s, 1)
                 np.add.at(mask, e, -1)
-                keep = np.cumsum(mask[:-1]) > 0
+                keep = np.cumsum(mask[:-1], dtype=np.int8) > 0
                 inner = np.flatnonzero(r[1:] == r[:-1]) + 1 if len(r) else np.zeros(0, np.int64)
                 keep[s[inner] - 1] = True  # the white byte before a word that is not its text's first
                 text[s[inner] - 1] = 32
@@ -218,8 +218,9 @@ def _removal(columns, schema, untouched):
                     whole = np.repeat(np.bincount(word_rows[gone], minlength=n) == 0, np.diff(offsets))
                     keep |= whole
                     text[whole] = data[whole]
-                sizes = np.concatenate(([0], np.cumsum(keep)))[offsets]
-                new = pa.StringArray.from_buffers(n, pa.py_buffer(sizes.astype(np.int32).tobytes()), pa.py_buffer(text[keep].tobytes()))
+                sizes = np.zeros(len(data) + 1, np.int32)
+                np.cumsum(keep, dtype=np.int32, out=sizes[1:])
+                new = pa.StringArray.from_buffers(n, pa.py_buffer(sizes[offsets].tobytes()), pa.py_buffer(text[keep].tobytes()))
                 counts = {"text": new, "n_words": pa.array(np.bincount(word_rows, minlength=n), pa.int64()), "n_removed": pa.array(np.bincount(word_rows[gone], minlength=n), pa.int64())}
                 rest = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([counts[c].cast(schema.field(c).type) if c in counts else rest.column(c) for c in columns], names=columns)

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from test_jaccard_join import brute
 from test_texts import cut, secrets
 
 import corpus_pipeline
-from lakeloom.llm import toxicity
+from lakeloom.llm import flat, substring_dedup, toxicity
 
 PHRASE = " ".join(f"shared{k}" for k in range(30))
 
@@ -110,3 +111,45 @@ def test_run_equals_its_stages_and_takes_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_texts_go_to_workers_in_small_batches(spark, tmp_path, monkeypatch):
+    """Executors with little memory: no pass over texts takes a batch of many MB, whatever the session's setting."""
+    seen = f"{tmp_path}/seen"
+
+    def noted(make):
+        def made(*args):
+            run = make(*args)
+
+            def noting(batches):
+                def each():
+                    for batch in batches:
+                        with open(seen, "a") as out:
+                            out.write(f"{batch.nbytes}\n")
+                        yield batch
+
+                yield from run(each())
+
+            return noting
+
+        return made
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    monkeypatch.setattr(substring_dedup, "_removal", noted(substring_dedup._removal))
+    docs = spark.createDataFrame([(i, f"word{i} " * 30_000) for i in range(40)], "doc_id long, text string").coalesce(1)
+    out = corpus_pipeline.substring_stage(spark, docs, "")
+    assert out.count() == 40 and spark.conf.get(key) == own
+    with open(seen) as read:
+        sizes = [int(line) for line in read]
+    assert sum(sizes) > 7 << 20 and max(sizes) < 2 << 20
+
+
+def test_passes_over_a_chunk_of_text_take_little_memory():
+    data = np.frombuffer((b"some words of a text " * 200_000)[: 4 << 20], np.uint8)
+    starts, ends, _ = flat.words(data, np.array([0, len(data)]))
+    tracemalloc.start()
+    hashes = flat.span_hash(data, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20 and len(np.unique(hashes)) == 5

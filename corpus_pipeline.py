@@ -10,8 +10,9 @@ Stages 1 to 4 return the columns of their input. Rows with a null doc_id stay in
 share a doc_id count as documents of their own in stage 2: only those whose own text is a copy go.
 
 Executors run one stage after the other and keep much of what each took, so texts go to Python workers in small Arrow
-batches throughout (``small_batches``). Stages 1 and 3, which end with a pass over texts, therefore return tables that are
-written already. Stages 2 and 3 pack what they find by batch and so take batches of a whole chunk.
+batches (``small_batches``). Stage 1 ends with a pass over texts and so returns a table that is written already. Stage 3
+ends with one too, but a copy more would nearly use up the disk's budget: that pass is lazy and takes the session's batches.
+Stages 2 and 3 pack what they find by batch and so take batches of a whole chunk.
 """
 
 from __future__ import annotations
@@ -51,8 +52,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if "n_chars" in docs.columns:
         changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
-    with small_batches(spark):
-        return materialise(out.select(*docs.columns), "substring_dedup")
+    return out.select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 #: Stages whose result is a written table.
-WRITTEN = {"toxicity", "substring_dedup"}
+WRITTEN = {"toxicity"}
 STAGES = [
     ("toxicity", toxicity_stage),
     ("jaccard_join", jaccard_stage),

@@ -393,6 +393,31 @@ def test_topk_scores_only_what_may_enter(monkeypatch):
     assert len(pairs) == 3 and max(pairs) < 20 * 1500 / 50 and np.bincount(best.rows[0]).tolist() == [5] * 20
 
 
+def test_topk_short_lists_are_added_by_pieces_into_one_memory():
+    """Time: postings of short lists are gathered several at once, and their sums take the memory of the shard before."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 6000, 200)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    row = next(topk_search._build(4096)(iter([batch])))
+    shard = topk_search.Shard(*(row.column(c)[0].as_buffer() for c in ("terms", "many", "index")), 200.0)
+    own, terms, _, _ = next(topk_search.doc_terms(d, o) for _, _, d, o in topk_search.flat.chunks(pa.array(texts[:70])))
+    at, idf = shard.find(terms), 1 + (terms % np.uint64(50)).astype(float) / 10
+    shard.weigh(at, idf)
+    (area,), best = shard.areas, topk_search.Best(70, 5)
+    postings, pieces = int(shard.size.sum()), int(area.cells[area.cells[:, 1] > 0, 1].sum())
+    assert not len(area.cut) and pieces < postings / 2
+    room = best.room(0, area.blocks * topk_search.BLOCK)
+    room[:] = 7
+    _, sums, bound = area.meet(own, at, room)
+    wanted = np.zeros(room.shape)
+    for doc in range(300):
+        mine = slice(shard.start[doc], shard.start[doc] + shard.size[doc])
+        impact = dict(zip(shard.of_doc[0][mine].tolist(), shard.of_doc[1][mine].tolist(), strict=True))
+        np.add.at(wanted[:, doc], own, [impact.get(t, 0.0) for t in at.tolist()])
+    assert sums is room and np.allclose(sums, wanted, rtol=1e-5) and (bound >= wanted.reshape(70, -1, topk_search.BLOCK).max(2)).all()
+    assert np.shares_memory(room, best.room(0, area.blocks * topk_search.BLOCK))
+
+
 def test_topk_batches_to_a_worker_are_small(spark, monkeypatch, tmp_path):
     """Memory: the shards of a task don't come in one batch, however many there are; the session keeps its setting."""
     monkeypatch.setattr(topk_search, "SHARD_ROWS", 20)
